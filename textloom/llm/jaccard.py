@@ -23,7 +23,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +107,7 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
             types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True)})
 
-    def count(key, table: pa.Table) -> pa.Table:
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
         if key[0].as_py() >= ranges:
             meta = np.concatenate([np.frombuffer(m, np.int64).reshape(4, -1) for m in table["meta"].to_pylist()], axis=1)
@@ -275,3 +274,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return rows.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("root", "node", "doc_id").alias("component_id")
     )
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join(common.documents(spark, sf_dir)).select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
