@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op6_decontamination
 from .id_files import op2_token_ids
 from .jaccard import op9_ngram_jaccard
+from .lm_score import op8_lm_scoring
 from .quality import op4_quality_rules
 from .sharding import op10_sharding
 from .token_count import op1_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_token_ids, op4_quality_rules, op6_decontamination, op9_ngram_jaccard, op10_sharding)
+    found = (op1_token_counts, op2_token_ids, op4_quality_rules, op6_decontamination, op8_lm_scoring, op9_ngram_jaccard, op10_sharding)
     return {f.__name__: f for f in found}
 
 
