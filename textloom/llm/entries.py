@@ -10,6 +10,7 @@ from .decontaminate import op6_decontamination
 from .id_files import op2_token_ids
 from .jaccard import op9_ngram_jaccard
 from .lm_score import op8_lm_scoring
+from .packing import op7_packing
 from .pii import op5_pii
 from .quality import op4_quality_rules
 from .sharding import op10_sharding
@@ -18,7 +19,7 @@ from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op8_lm_scoring, op9_ngram_jaccard, op10_sharding)
+    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op7_packing, op8_lm_scoring, op9_ngram_jaccard, op10_sharding)
     return {f.__name__: f for f in found}
 
 
