@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .tokens import in_parts
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Hashes that a range holds on average; the number of ranges follows the input.
-PER_RANGE = 4_000_000
+#: Hashes that a range holds on average (the number of ranges follows the input), and bytes of text that a task packs at once.
+PER_RANGE, PACKED = 1_500_000, 4_000_000
 #: Rows of the matrix in a block, and hashes of small groups that a task takes together.
 BLOCK_ROWS, TASK_ROWS = 512, 2_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -75,37 +76,46 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
     ranges = max(1, int(-(-size // (6 * PER_RANGE))), spark.sparkContext.defaultParallelism)
 
+    def packed_rows(sets: list[np.ndarray], ids: list[int | None]) -> pa.RecordBatch:
+        counts = np.fromiter(map(len, sets), np.int64, len(sets))
+        digests = np.fromiter(map(_digest, sets), np.int64, len(sets))
+        known = np.fromiter((-1 if i is None else 1 for i in ids), np.int64, len(ids))
+        numbers = np.fromiter((i or 0 for i in ids), np.int64, len(ids))
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        row = np.repeat(np.arange(len(sets)), counts)
+        # Equal sets: the smallest doc_id alone holds the columns, so copies are one row of a part.
+        order = np.lexsort((numbers, counts, digests, known < 0))
+        first = np.ones(len(order), bool)
+        first[1:] = (digests[order][1:] != digests[order][:-1]) | (counts[order][1:] != counts[order][:-1])
+        stands = np.zeros(len(order), bool)
+        stands[order[first]] = True
+        keep = (stands & (known > 0))[row]
+        every, row = every[keep], row[keep]
+        part = (every % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        every, row, part = every[order], row[order], part[order]
+        cuts = np.searchsorted(part, np.arange(ranges + 1))
+        meta = np.stack([numbers, digests, counts, known])
+        rows = {"range": [], "meta": [], "held": [], "hashes": []}
+        for r in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[r], cuts[r + 1]
+            own, held = np.unique(row[a:b], return_counts=True)
+            rows["range"].append(int(r))
+            rows["meta"].append(meta[:3, own].tobytes())
+            rows["held"].append(held.astype("<u4").tobytes())
+            rows["hashes"].append(every[a:b].tobytes())
+        rows["range"].append(int(ranges + xxhash.xxh3_64_intdigest(meta.tobytes()) % ranges))
+        rows["meta"].append(meta.tobytes())
+        rows["held"].append(b"")
+        rows["hashes"].append(b"")
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True)})
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch["text"].cast(pa.binary()).to_pylist(), batch["doc_id"].to_pylist()
-            sets = shingle_sets(texts, words)
-            counts = np.fromiter(map(len, sets), np.int64, len(sets))
-            digests = np.fromiter(map(_digest, sets), np.int64, len(sets))
-            known = np.fromiter((-1 if i is None else 1 for i in ids), np.int64, len(ids))
-            numbers = np.fromiter((i or 0 for i in ids), np.int64, len(ids))
-            every = np.concatenate([np.zeros(0, np.uint64), *sets])
-            row = np.repeat(np.arange(len(sets)), counts)
-            keep = known[row] > 0
-            every, row = every[keep], row[keep]
-            part = (every % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            every, row, part = every[order], row[order], part[order]
-            cuts = np.searchsorted(part, np.arange(ranges + 1))
-            meta = np.stack([numbers, digests, counts, known])
-            rows = {"range": [], "meta": [], "held": [], "hashes": []}
-            for r in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[r], cuts[r + 1]
-                own, held = np.unique(row[a:b], return_counts=True)
-                rows["range"].append(int(r))
-                rows["meta"].append(meta[:3, own].tobytes())
-                rows["held"].append(held.astype("<u4").tobytes())
-                rows["hashes"].append(every[a:b].tobytes())
-            rows["range"].append(int(ranges + xxhash.xxh3_64_intdigest(meta.tobytes()) % ranges))
-            rows["meta"].append(meta.tobytes())
-            rows["held"].append(b"")
-            rows["hashes"].append(b"")
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(rows.items(), types, strict=True)})
+            every_text, every_id = batch["text"].cast(pa.binary()).to_pylist(), batch["doc_id"].to_pylist()
+            for part in in_parts(every_text, PACKED):
+                yield packed_rows(shingle_sets(every_text[part], words), every_id[part])
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
