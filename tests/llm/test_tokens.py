@@ -40,6 +40,14 @@ def test_counts_and_segments_are_the_librarys(library, counter, texts):  # noqa:
         assert got.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.from_regex(r"([ \n]?[A-Za-zÀ-ÿ0-9]{1,9}[!-/:-@\[-`{-~]{0,3}){0,8}\n?", fullmatch=True), max_size=4))
+def test_plain_words_are_the_librarys(library, texts):
+    for name, tokenizer in library.items():
+        got, _ = encoder(name).encode(texts)
+        assert got.tolist() == [i for t in texts for i in ids_of(tokenizer, t)]
+
+
 def test_op1_whole_table(spark, sf_dir, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     rows = op1_token_counts(spark, sf_dir).collect()

@@ -31,6 +31,8 @@ from . import common
 from .tokens import encoder, in_parts
 
 BLOCK, LANES, CHECKPOINT = 1 << 18, 1024, 128
+#: Parts whose sums are broadcast; beyond that Spark joins them as it sees fit. 16 bytes each.
+BROADCAST_PARTS = 200_000
 #: Frequencies of a table sum to 1 << SCALE; states lie in [LOW, LOW << 32).
 SCALE, LOW = 20, 1 << 31
 MAGIC = b"RANS\x01\0\0\0"
@@ -128,19 +130,24 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
     return ids
 
 
-def encode_texts(docs: DataFrame, name: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 16-bit integers, end_id included."""
+def encode_texts(docs: DataFrame, name: str, end_id: int, vocabulary: int) -> DataFrame:
+    """(doc_id, ids, counts): ids as little-endian unsigned 16-bit integers, end_id included; and for each task a row
+    with nothing but how often it saw each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             texts, own = batch["text"].to_pylist(), batch["doc_id"]
             for part in in_parts(texts):
                 ids, counts = encoder(name).encode(texts[part])
+                total += np.bincount(ids, minlength=vocabulary)
+                total[end_id] += len(counts)
                 cut = np.concatenate([[0], np.cumsum(counts)])
                 blobs = [np.append(ids[a:b], np.uint16(end_id)).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.record_batch({"doc_id": own[part.start : part.stop], "ids": pa.array(blobs, pa.binary())})
+                yield pa.record_batch({"doc_id": own[part.start : part.stop], "ids": pa.array(blobs, pa.binary()), "counts": pa.nulls(len(blobs), pa.binary())})
+        yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    return common.doc_rows(docs).mapInArrow(run, "doc_id long, ids binary")
+    return common.doc_rows(docs).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
@@ -149,16 +156,14 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for blob in batch["ids"]:
-                total += np.bincount(np.frombuffer(blob.as_buffer(), "<u2"), minlength=vocabulary) if len(blob.as_buffer()) > 2 * vocabulary else 0
-            short = [b.as_buffer() for b in batch["ids"] if len(b.as_buffer()) <= 2 * vocabulary]
-            if short:
-                total += np.bincount(np.frombuffer(b"".join(short), "<u2"), minlength=vocabulary)
+            for blob in batch["counts"]:
+                total += np.frombuffer(blob.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.record_batch({"id": seen.astype(np.int32), "n": total[seen]})
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    of_tasks = encoded.where("counts is not null").select("counts")
+    for r in of_tasks.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
 
@@ -166,14 +171,15 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
 def write_ids(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", end_id: int = 2, vocabulary: int = 49_408) -> None:
     """Write the ids of all docs under path: ``blocks`` and ``table``."""
     spark = docs.sparkSession
-    encoded = common.written(encode_texts(docs, name, end_id), "ids")
+    encoded = common.written(encode_texts(docs, name, end_id, vocabulary), "ids")
     freq = Table.scaled(id_counts(encoded, vocabulary))
+    encoded = encoded.where("ids is not null").select("doc_id", "ids")
     spark.createDataFrame([(SCALE, freq.astype("<u4").tobytes(), zlib.crc32(freq.astype("<u4").tobytes()))], "scale int, freq binary, crc long").write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
-        number, held, size = 0, [], 0
+        number, held, size, inside = 0, [], 0, 0
 
         def block() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(b for _, b in held), "<u2")
@@ -181,6 +187,7 @@ def write_ids(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", end_i
             return pa.record_batch(
                 {
                     "block": pa.array([number], pa.int64()),
+                    "inside": pa.array([inside], pa.int64()),
                     "n_ids": pa.array([len(ids)], pa.int64()),
                     "doc_ids": pa.array([docs], pa.list_(pa.int64())),
                     "lengths": pa.array([lengths], pa.list_(pa.int64())),
@@ -194,14 +201,14 @@ def write_ids(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", end_i
                 size += len(b) // 2
                 if size >= BLOCK:
                     yield block()
-                    number, held, size = number + 1, [], 0
+                    number, held, size, inside = number + 1, [], 0, inside + size
         if held:
             yield block()
 
     parts = max(1, spark.sparkContext.defaultParallelism, int(freq.any()) and -(-encoded.count() // 10_000))
     dealt = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    # The partition's number and its first doc_id order the files' blocks.
-    blocks = dealt.mapInArrow(run, "block long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary")
+    # A part is a range of doc_id; inside tells how many of its ids come before a block.
+    blocks = dealt.mapInArrow(run, "block long, inside long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary")
     blocks.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{path}/blocks")
 
 
@@ -212,29 +219,30 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("the table of frequencies is damaged")
     shared = spark.sparkContext.broadcast(np.frombuffer(stored["freq"], "<u4").astype(np.int64))
     blocks = spark.read.parquet(f"{path}/blocks")
-    # Ids before each block: totals by part first, then within the part; no payload is read for that.
-    own = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Ids before each part: one row for each part, from columns without payload; the blocks themselves are not shuffled.
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    starts = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("inside")).join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("start"))
+    parts = common.written(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "id-parts")
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
         for batch in batches:
-            for start, docs, lengths, payload in zip(*(batch[c].to_pylist() for c in ("start", "doc_ids", "lengths", "payload")), strict=True):
-                ids = decode_block(payload, table)
+            for start, docs, lengths, payload in zip(batch["start"].to_pylist(), batch["doc_ids"], batch["lengths"], batch["payload"], strict=True):
+                docs, lengths = docs.values, lengths.values.to_numpy()
+                ids = decode_block(payload.as_buffer(), table)
                 cut = np.concatenate([[0], np.cumsum(lengths)])
                 yield pa.record_batch(
                     {
-                        "doc_id": pa.array(docs, pa.int64()),
+                        "doc_id": docs,
                         "start": start + cut[:-1],
-                        "n_tokens": np.asarray(lengths, np.int64),
+                        "n_tokens": lengths,
                         "ids": pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
                     }
                 )
 
-    return blocks.join(starts, ["part", "block"]).select("start", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(parts, "part").select((F.col("base") + F.col("inside")).alias("start"), "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

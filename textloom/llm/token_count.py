@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import in_parts
+from .tokens import byte_units, in_parts
 
 CHUNK = 128
 #: States and words that a worker remembers; it forgets all of them beyond that, and finds them again.
@@ -130,7 +130,7 @@ class Merger:
     """The second transducer: bytes of a word to the number of its tokens."""
 
     def __init__(self, model: dict):
-        unit = byte_of_unit()
+        unit = {u: b for b, u in byte_units().items()}
         name = {t: bytes(unit[c] for c in t) for t in model["vocab"] if all(c in unit for c in t)}
         self.rank: dict[tuple[bytes, bytes], int] = {}
         for i, pair in enumerate(model["merges"]):
@@ -216,14 +216,6 @@ class Merger:
         return total
 
 
-def byte_of_unit() -> dict[str, int]:
-    """Byte-level vocabularies write bytes that do not print as code points from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    unit = {chr(b): b for b in plain}
-    unit |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-    return unit
-
-
 class Counter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
