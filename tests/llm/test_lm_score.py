@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+from textloom.llm import lm_score
 from textloom.llm.lm_score import BITS, SYMBOLS, automaton, op8_lm_scoring, score, traverse, with_edges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,3 +100,47 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert score(no_docs).count() == 0
     none = score(odd_docs.where("doc_id = 1000")).count()
     assert none == 0
+
+
+def test_every_word_has_contexts(spark):
+    """Four thousand words, far more than a fixed set of symbols: all runs count, in one part or many."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{x}" for x in rng.permutation(4000)[:200]) for _ in range(60)]
+    train = [i for i in range(400) if not is_held(i)][:120]
+    held = [i for i in range(400) if is_held(i)][:20]
+    docs = [(d, lines[j % 60]) for j, d in enumerate(train)]
+    for j, d in enumerate(held):
+        own = lines[j].split()
+        docs.append((d, lines[j] if j % 2 else " ".join(rng.permutation(own))))
+    docs.append((held[-1], ""))
+    rows = score(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    same(rows, base(docs))
+    counts = [Counter() for _ in range(3)]
+    for d, text in docs:
+        if not is_held(d):
+            read = ["<", "<", *tokens(text)]
+            for i in range(2, len(read)):
+                for k in range(3):
+                    counts[k][tuple(read[i - k : i + 1])] += 1
+    texts, n_all, kinds = len(train), sum(counts[0].values()), len(counts[0])
+    s = []
+    for k in (1, 2):
+        contexts = Counter(c.bit_length() for c in counts[k - 1].values())
+        by = [(contexts[b], sum(c for c in counts[k - 1].values() if c.bit_length() == b)) for b in contexts]
+        s.append(lm_score.strength(by, sum(c == 1 for c in counts[k].values())))
+
+    def log_p(text):
+        read, out = ["<", "<", *tokens(text)], 0
+        for i in range(2, len(read)):
+            p = (counts[0][(read[i],)] + 0.5) / (n_all + 0.5 * (kinds + 1))
+            for k in (1, 2):
+                context = texts if i == 2 else counts[k - 1][tuple(read[i - k : i])]
+                p = (counts[k][tuple(read[i - k : i + 1])] + s[k - 1] * p) / (context + s[k - 1])
+            out += math.log10(p)
+        return out
+
+    want = sorted(((d, log_p(t)) for d, t in docs), key=str)
+    got = sorted(((r.doc_id, r.score) for r in rows), key=str)
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+    mean = lambda odd: sum(r.score for r in rows if r.held_out and r.n_tokens > 1 and held.index(r.doc_id) % 2 == odd) / 10
+    assert mean(1) > mean(0) + 100  # words in an order that was seen are far likelier

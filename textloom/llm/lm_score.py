@@ -1,27 +1,26 @@
 """Operator 8: language-model scores by a weighted back-off automaton over words.
 
-1. Parts. A task numbers the distinct words of each few megabytes of text and writes the texts as such numbers. The
-   dictionaries alone are shuffled: Spark adds up the training counts of each word and sends them back to the parts that
-   hold it, so a frequent word is one row for each part, however often it stands in texts.
-2. Symbols. The most frequent words have a symbol of their own, all others share one: P(word | context) =
-   P(symbol | context) * P(word | symbol). The words of the shared symbol keep their own counts, however many they are;
-   absolute discounting leaves a share for the event that a word is unknown. So the model knows as many words as the
-   training texts hold, and has the events that the base score has.
-3. Automaton. Spark counts all runs of ORDER symbols. A state is a context of up to ORDER - 1 symbols; its arcs are the
-   symbols seen after it, and its failure arc leads to the longest proper suffix, whose probabilities smooth its own. The
-   least count of a state is the smallest at which MOST_STATES suffice: the automaton has a bound and may be broadcast,
-   while the counts behind it are over all training texts.
-4. A task resolves the failure arcs once, into next state and weight by state and symbol. One traversal from left to right
-   then carries the state and adds up log-probabilities; texts are cut into lanes that are read side by side, each from
-   ORDER - 1 symbols before its begin, since a state depends on no more.
+1. Parts. A task numbers the distinct words of each few megabytes of text and writes the texts as such numbers.
+2. Counts. Every run of one, two and three words of a part, once each, goes to a range of hashes with its training count,
+   packed. A range adds up the counts of all parts and sends each part the totals of just its own runs, in the order in
+   which they came. No run is left out, however rare, and nothing but 64 bucket sizes for each length reaches the driver,
+   so words, contexts and arcs grow with the corpus.
+3. Automaton. A state is a context of two words, one or none; its arcs are the words seen after it, and its failure arc
+   leads to the context without its first word. With n of an arc, t of its state and s of the length of context,
+   P(word | context) = (n + s * P(word | shorter context)) / (t + s), so the failure arc weighs s / (t + s), and one where
+   the context is unknown. At the root stands the base score's P(word), an unknown word among its events. s is the value at
+   which training words, each left out in turn, take the failure arc as often as there are arcs seen once.
+4. A task holds the arcs and states of its own part alone. The path of a text through them is known from its places: the
+   state before a word is the arc of one word less that ends there.
 
 Defined results: a null or empty text is the end alone; a null doc_id is not held out; repeated rows are reported each;
-very long texts are whole; without training texts all symbols are alike; further columns are ignored.
+very long texts are whole; without training texts an unknown word is the only event; further columns are ignored.
+
+Automaton, automaton() and traverse() are a small automaton over symbols that fits in memory; score() does not use them.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,10 +41,15 @@ SYMBOLS = 1 << BITS
 MOST_STATES = 1 << 13
 #: Steps of a lane, characters of a part, and states that are resolved at once.
 LANE, PART, ROWS = 512, 6_000_000, 256
+#: Runs of words that a range of hashes gets on average; the number of ranges follows the input.
+PER_RANGE = 3_000_000
 #: No word: stands for the end of a text; its symbol, and that of all words without one of their own.
 END = b"\n"
 END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64))
-EDGE, REST = 0, 1
+#: Stands before a text; no hash of a word but by chance.
+BEGIN = np.uint64(0x6A09E667F3BCC909)
+EDGE = 0
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 @dataclass
@@ -110,48 +114,6 @@ def traverse(read: np.ndarray, goto: np.ndarray, weight: np.ndarray, before: int
     return out.T.ravel()[:n]
 
 
-def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of counts by key."""
-    found, where = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
-    return found, np.bincount(where, np.concatenate([c[1] for c in counts]), len(found)).astype(np.int64)
-
-
-def part_runs(parts: DataFrame, top: np.ndarray, order: int) -> DataFrame:
-    """(gram, n): counts of all runs of order symbols in the training texts, packed; top: hashes of words with a symbol."""
-    shared = parts.sparkSession.sparkContext.broadcast(top)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                symbol = symbols_of(np.frombuffer(row["words"], "<i8"), shared.value)
-                lengths, places = np.frombuffer(row["lengths"], "<i8"), restored(row["places"])
-                train = np.frombuffer(row["held"], np.uint8) == 0
-                read, starts = with_edges(symbol[places[np.repeat(train, lengths)]], lengths[train], order - 1)
-                grams = np.zeros(max(0, len(read) - order + 1), np.int64)
-                for i in range(order):
-                    grams = grams << BITS | read[i : len(read) - order + 1 + i]
-                ends = np.ones(len(read), bool)
-                for i in range(order - 1):
-                    ends[starts[:-1] + i] = False
-                waiting.append(np.unique(grams[ends[order - 1 :]], return_counts=True))
-                size += len(waiting[-1][0])
-                if size > 1_500_000:
-                    waiting, size = [added(waiting)], 0
-        grams, n = added(waiting)
-        for at in range(0, len(grams), 500_000):
-            yield pa.record_batch({"gram": grams[at : at + 500_000], "n": n[at : at + 500_000]})
-
-    return parts.select("words", "held", "lengths", "places").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def symbols_of(words: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """top: sorted hashes, the first of which has the symbol after REST; the end has EDGE."""
-    at = np.minimum(np.searchsorted(top, words), max(0, len(top) - 1))
-    found = np.where(top[at] == words, at + REST + 1, REST) if len(top) else np.full(len(words), REST)
-    return np.where(words == END_HASH, EDGE, found).astype(np.int32)
-
-
 def with_edges(symbols: np.ndarray, lengths: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts, so many edges before each; where each begins, and the end of all."""
     starts = np.concatenate([[0], np.cumsum(lengths + before)])
@@ -185,9 +147,6 @@ def automaton(runs: DataFrame, order: int = ORDER, most: int = MOST_STATES) -> A
     return out
 
 
-_resolved: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def squeezed(places: np.ndarray) -> bytes:
     """Small numbers, their low bytes together, their next bytes together and so on, and compressed."""
     planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
@@ -200,7 +159,7 @@ def restored(squeezed: bytes) -> np.ndarray:
 
 
 def written_parts(docs: DataFrame) -> DataFrame:
-    """A row for each part: its dictionary (word hashes, training counts), and its texts as places in it."""
+    """A row for each part: its dictionary (word hashes), its texts as places in it, its training texts and all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = xxhash.xxh3_64_intdigest
@@ -219,12 +178,12 @@ def written_parts(docs: DataFrame) -> DataFrame:
                 rank = np.empty(len(words), np.int64)
                 rank[order] = np.arange(len(words))
                 words, places = words[order], rank[places]
-                times = np.bincount(places, np.repeat(~held[part], lengths), len(words)).astype("<i8")
                 yield pa.record_batch(
                     {
                         "part": [number],
                         "words": pa.array([words.astype("<i8").tobytes()], pa.binary()),
-                        "times": pa.array([times.tobytes()], pa.binary()),
+                        "trained": [int((~held[part]).sum())],
+                        "tokens": [int(lengths.sum())],
                         "doc_ids": pa.array([batch["doc_id"][part.start : part.stop].to_pylist()], pa.list_(pa.int64())),
                         "held": pa.array([held[part].astype(np.uint8).tobytes()], pa.binary()),
                         "lengths": pa.array([lengths.astype("<i8").tobytes()], pa.binary()),
@@ -233,81 +192,163 @@ def written_parts(docs: DataFrame) -> DataFrame:
                 )
                 number += 1
 
-    return common.written(docs.mapInArrow(run, "part long, words binary, times binary, doc_ids array<long>, held binary, lengths binary, places binary"), "lm-parts")
+    return common.written(docs.mapInArrow(run, "part long, words binary, trained long, tokens long, doc_ids array<long>, held binary, lengths binary, places binary"), "lm-parts")
 
 
-def word_counts(parts: DataFrame) -> DataFrame:
-    """(part, place, word, n): the dictionaries of all parts."""
+def packed(values: np.ndarray) -> bytes:
+    """64-bit numbers, the bytes of one weight together, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, words, times in zip(*(batch[c].to_pylist() for c in ("part", "words", "times")), strict=True):
-                words, times = np.frombuffer(words, "<i8"), np.frombuffer(times, "<i8")
-                for at in range(0, len(words), 200_000):
-                    w = words[at : at + 200_000]
-                    yield pa.record_batch({"part": np.full(len(w), number), "place": np.arange(at, at + len(w)), "word": w, "n": times[at : at + 200_000]})
 
-    return parts.select("part", "words", "times").mapInArrow(run, "part long, place long, word long, n long")
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _mixed(run: np.ndarray, before: np.ndarray) -> np.ndarray:
+    out = (run ^ (before * _MIX[0] + _MIX[3])) * _MIX[1]
+    out ^= out >> np.uint64(32)
+    out *= _MIX[2]
+    return out ^ (out >> np.uint64(29))
+
+
+def runs_of(words: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 1 to ORDER words: sorted distinct hashes, and for each token the one of the run that ends there."""
+    keys, where = np.unique(words.view(np.uint64), return_inverse=True)
+    out = [(keys, where[places])]
+    hashes = run = words.view(np.uint64)[places]
+    starts = np.cumsum(lengths) - lengths
+    for k in range(1, ORDER):
+        before = np.full(len(hashes), BEGIN)
+        before[k:] = hashes[:-k]
+        for i in range(k):
+            before[starts[lengths > i] + i] = BEGIN
+        run = _mixed(run, before)
+        out.append(np.unique(run, return_inverse=True))
+    return out
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges follow the order of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def run_counts(parts: DataFrame, ranges: int) -> DataFrame:
+    """(part, range, totals): training counts of a part's runs of a range, in the order of runs_of(), all lengths in turn;
+    and with part -1 and range 64 * (length - 1) + floor(log2(count)): kinds of runs and tokens of such a count."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = np.frombuffer(row["lengths"], "<i8")
+                train = np.repeat(np.frombuffer(row["held"], np.uint8) == 0, lengths)
+                found = runs_of(np.frombuffer(row["words"], "<i8"), restored(row["places"]), lengths)
+                times = [np.bincount(where, train, len(keys)).astype(np.uint64) for keys, where in found]
+                cuts = [np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1)) for keys, _ in found]
+                out = {"range": [], "part": [], "sizes": [], "keys": [], "times": []}
+                for r in range(ranges):
+                    own = [slice(c[r], c[r + 1]) for c in cuts]
+                    keys = np.concatenate([k[o] for (k, _), o in zip(found, own, strict=True)])
+                    if len(keys):
+                        out["range"].append(r)
+                        out["part"].append(row["part"])
+                        out["sizes"].append([o.stop - o.start for o in own])
+                        out["keys"].append(packed(np.diff(keys, prepend=np.uint64(0))))  # small steps, but where a length begins
+                        out["times"].append(packed(np.concatenate([t[o] for t, o in zip(times, own, strict=True)])))
+                yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)})
+
+    def count(table: pa.Table) -> pa.Table:
+        sizes = np.array(table["sizes"].to_pylist(), np.int64)
+        ends = np.cumsum(sizes, axis=1)
+        keys = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["keys"].to_pylist()]
+        times = [unpacked(x) for x in table["times"].to_pylist()]
+        totals = [np.empty(len(k), np.uint64) for k in keys]
+        out = {"part": table["part"].to_pylist(), "range": table["range"].to_pylist(), "kinds": [0] * len(keys), "tokens": [0] * len(keys)}
+        for k in range(ORDER):
+            own = [slice(e[k] - n[k], e[k]) for e, n in zip(ends, sizes, strict=True)]
+            found, where = np.unique(np.concatenate([x[o] for x, o in zip(keys, own, strict=True)]), return_inverse=True)
+            total = np.bincount(where, np.concatenate([x[o] for x, o in zip(times, own, strict=True)]).astype(np.float64), len(found))
+            at = 0
+            for x, o in zip(totals, own, strict=True):
+                x[o] = total[where[at : at + o.stop - o.start]]
+                at += o.stop - o.start
+            total = total[total > 0]
+            bucket = np.frexp(total)[1] - 1
+            kinds, tokens = np.bincount(bucket, minlength=64), np.bincount(bucket, total, 64)
+            for b in np.flatnonzero(kinds).tolist():
+                for name, value in (("part", -1), ("range", 64 * k + b), ("kinds", int(kinds[b])), ("tokens", int(tokens[b]))):
+                    out[name].append(value)
+        values = [packed(x) for x in totals] + [b""] * (len(out["part"]) - len(totals))
+        return pa.table({**{k: pa.array(v, pa.int64()) for k, v in out.items()}, "totals": pa.array(values, pa.binary())})
+
+    sent = parts.select("part", "words", "held", "lengths", "places").mapInArrow(send, "range long, part long, sizes array<long>, keys binary, times binary")
+    return sent.groupBy("range").applyInArrow(count, "part long, range long, kinds long, tokens long, totals binary")
+
+
+def strength(contexts: list[tuple[int, int]], once: int) -> float:
+    """s of a length of context; contexts: (kinds, tokens) of contexts of like count; once: arcs seen once."""
+    low, high = -3.0, 6.0
+    for _ in range(60):
+        s = 10 ** ((low + high) / 2)
+        backed = sum(tokens * s / (tokens / kinds - 1 + s) for kinds, tokens in contexts)
+        low, high = ((low + high) / 2, high) if backed < once else (low, (low + high) / 2)
+    return 10**low
 
 
 def score(docs: DataFrame, train_unless: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
     parts = written_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), common.held_out(train_unless).alias("held")))
-    flat = word_counts(parts)
-    totals = common.written(flat.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    n_all, kinds = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = totals.where(F.col("word") != END_HASH).orderBy(F.desc("c"), "word").limit(SYMBOLS - 2).collect()
-    top = np.sort(np.array([r["word"] for r in rows], np.int64))
-    # The words that share a symbol: their tokens, kinds, and how many were seen once and twice.
-    own = {END_HASH, *top.tolist()}
-    others = totals.where(~F.col("word").isin(*own))
-    tokens, others_kinds, ones, twos = others.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    cut = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.9)
-    unknown = np.log10(cut * others_kinds / tokens) if tokens else 0.0
-    shared = spark.sparkContext.broadcast(automaton(common.written(part_runs(parts, top, ORDER), "lm-runs")))
-    named = spark.createDataFrame([(w, i) for w, i in zip(top.tolist(), range(REST + 1, SYMBOLS), strict=False)], "word long, symbol int")
-    known = totals.join(F.broadcast(named), "word", "left").withColumn("symbol", F.coalesce("symbol", F.lit(REST)))  # SYMBOLS rows at most are broadcast
-    counts = flat.select("part", "place", "word").join(known, "word").select("part", F.col("place").cast("int").alias("place"), "c", "symbol")
-    rest = float(np.log10(n_all + 0.5 * (kinds + 1)))
-    name, before = uuid.uuid4().hex, ORDER - 1
+    trained, tokens = parts.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    ranges = max(spark.sparkContext.defaultParallelism, -(-(ORDER - 1) * tokens // PER_RANGE))
+    counts = common.written(run_counts(parts, ranges), "lm-counts")
+    buckets: list[dict[int, tuple[int, int]]] = [{} for _ in range(ORDER)]
+    for r in counts.where("part = -1").groupBy("range").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).collect():
+        buckets[r["range"] // 64][r["range"] % 64] = (r["kinds"], r["tokens"])
+    kinds, n_all = (sum(x[i] for x in buckets[0].values()) for i in range(2))
+    # A run that ends a text is no context, but stands for the begin of a text, which is one and as frequent.
+    strengths = [strength([*buckets[k - 1].values()], buckets[k].get(0, (0, 0))[0]) for k in range(1, ORDER)]
 
     def add(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        model = shared.value
-        if name not in _resolved:
-            _resolved.clear()
-            _resolved[name] = model.resolved()
+        at = np.argsort(counts["range"].to_numpy())
+        by_range = counts["totals"].to_pylist()
+        own = [unpacked(by_range[i]) for i in at]
+        present = counts["range"].to_numpy()[at]
         out = []
         for row in texts.to_pylist():
-            lengths, places = np.frombuffer(row["lengths"], "<i8"), restored(row["places"])
-            c, symbol = np.zeros(int(places.max()) + 1), np.full(int(places.max()) + 1, REST, np.int32)
-            at = counts["place"].to_numpy()
-            c[at], symbol[at] = counts["c"].to_numpy(), counts["symbol"].to_numpy()
-            symbol[places[lengths[0] - 1]] = EDGE  # each text ends with the end
-            inside = np.where((symbol == REST) & (c > 0), np.log10(np.maximum(c - cut, 1e-9) / max(tokens, 1)), np.where(symbol == REST, unknown, 0.0))
-            read, begins = with_edges(symbol[places], lengths, before)
-            weights = traverse(read, *_resolved[name], before)
-            for i in range(before):
-                weights[begins[:-1] + i] = 0
+            lengths = np.frombuffer(row["lengths"], "<i8")
             starts = np.cumsum(lengths) - lengths
+            found = runs_of(np.frombuffer(row["words"], "<i8"), restored(row["places"]), lengths)
+            sizes = np.stack([np.bincount(range_of(keys, ranges), minlength=ranges)[present] for keys, _ in found])
+            ends = np.cumsum(sizes, axis=0)
+            context, below = None, None
+            for k, (_, where) in enumerate(found):
+                n = np.concatenate([x[e - s : e] for x, e, s in zip(own, ends[k], sizes[k], strict=True)])[where].astype(np.float64)
+                if k == 0:
+                    known, below = n > 0, (n + 0.5) / (n_all + 0.5 * (kinds + 1))
+                    base = np.log10(below)
+                else:
+                    below = (n + strengths[k - 1] * below) / (context + strengths[k - 1])
+                context = np.append(0, n[:-1])
+                context[starts] = trained
             out.append(
                 pa.table(
                     {
                         "doc_id": pa.array(row["doc_ids"], pa.int64()),
                         "held_out": np.frombuffer(row["held"], np.uint8).astype(bool),
                         "n_tokens": lengths,
-                        "n_known": np.add.reduceat((c > 0).astype(np.int64)[places], starts),
+                        "n_known": np.add.reduceat(known.astype(np.int64), starts),
                         "train_tokens": np.full(len(lengths), n_all, np.int64),
-                        "base_score": np.add.reduceat(np.log10(c + 0.5)[places], starts) - lengths * rest,
-                        "score": np.add.reduceat(weights.astype(np.float64), begins[:-1]) + np.add.reduceat(inside[places], starts),
+                        "base_score": np.add.reduceat(base, starts),
+                        "score": np.add.reduceat(np.log10(below), starts),
                     }
                 )
             )
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    texts = parts.select("part", "doc_ids", "held", "lengths", "places")
-    return texts.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(
+    texts = parts.select("part", "doc_ids", "held", "words", "lengths", "places")
+    return texts.groupBy("part").cogroup(counts.where("part >= 0").select("part", "range", "totals").groupBy("part")).applyInArrow(
         add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
