@@ -69,3 +69,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = sorted((tuple(r) for r in join(odd_docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == brute(docs)
     assert join(no_docs).count() == 0
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    """Doc 1 is the smallest holder of three sets; all of them have near copies under other ids, and an empty text."""
+    text = lambda name, i=None: " ".join(f"{name}{x}" if x != i else "other" for x in range(60))
+    docs = [(1, text("a")), (1, text("b")), (1, text("c")), (1, ""), (7, text("a", 59)), (8, text("b", 0)), (9, text("b")), (6, text("c", 1))]
+    docs += [(20, text("d")), (21, text("d", 59)), (21, text("e")), (5, text("e", 0)), (3, text("f")), (4, text("f", 0)), (None, text("a")), (30, None), (30, "a b"), (31, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in join(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(docs)
+    assert {d: c for d, _, c in got} == {1: 1, 7: 1, 8: 1, 9: 1, 6: 1, 20: 5, 21: 5, 5: 5, 3: 3, 4: 3, None: None, 30: 30, 31: 31}

@@ -5,14 +5,15 @@
    one range of hashes.
 2. Columns. A range knows every holder of its hashes, so it drops columns that one distinct set alone holds; only
    columns with two holders or more leave it. Documents with equal sets are one row of the matrix: the set's digest and
-   size name it, and its smallest doc_id stands for it.
+   size tell it, and its smallest doc_id names it (a hash, where that doc_id names another set already).
 3. Bounds. A row links only if 0.8 of its set lies in shared columns; others go, columns are counted again, and so on.
    In the order of rarity, rows that link share a column among their first n - ceil(0.8 n) + 1. Rows are grouped by those
    prefix columns.
 4. Product. Each group is cut into blocks of rows ordered by size; a task multiplies two blocks of the sparse matrix and
    keeps the pairs whose overlap reaches the bound that both sizes give. It returns links enough to hold every linked
    pair together (a spanning forest), never all pairs, so a large group of copies stays small.
-5. Groups. Alternating large-star and small-star rounds of joins give each row the smallest doc_id that it reaches.
+5. Groups. Alternating large-star and small-star rounds of joins, over these links and those between the sets of one
+   doc_id, give each row the smallest doc_id that it reaches.
 
 No pair is skipped: pairs left out by a bound cannot reach the threshold.
 
@@ -269,20 +270,47 @@ def _forest(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> list[tuple
     return out
 
 
+def named_classes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets: (digest, n, first, node), first being the smallest doc_id that has the set and node its name in the matrix;
+    and the doc_ids that have more than one: (doc_id, least, most, empty), the least and greatest set, and if it has none too.
+
+    The name is first, or a hash where first stands for several sets (that it is a doc_id too is as unlikely as that two
+    digests are equal).
+    """
+    ids = own.where("doc_id is not null")
+    sets = common.written(ids.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first")), "jaccard-sets")
+    several = common.written(sets.groupBy("first").count().where("count > 1").select("first", F.lit(True).alias("several")), "jaccard-several")
+    name = F.when(F.col("several"), F.xxhash64("digest", "n")).otherwise(F.col("first"))
+    classes = common.written(sets.join(several, "first", "left").select("digest", "n", "first", name.alias("node")), "jaccard-classes")
+    set_of = F.when(F.col("n") > 0, F.struct("digest", "n"))
+    repeated = ids.groupBy("doc_id").agg(F.min(set_of).alias("least"), F.max(set_of).alias("most"), (F.min("n") == 0).alias("empty"))
+    return classes, common.written(repeated.where("least < most or (empty and least is not null)"), "jaccard-repeated")
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Each row of docs with n_shingles, class_id (smallest doc_id with an equal set) and component_id."""
     docs = common.doc_rows(docs)
     packed = common.written(shuffled_columns(docs, words), "jaccard-columns")
     own = packed.where("kind = 0").select("doc_id", "digest", "n")
-    classes = common.written(own.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("node")), "jaccard-classes")
-    cells = packed.where("kind = 1").select(F.col("doc_id").alias("node"), "n", "column")
-    # A doc_id that several texts share would be several rows of the matrix: name rows by class, apart from doc_ids.
-    live = common.written(live_rows(cells.join(classes.groupBy("node").count().where("count > 1"), "node", "left_anti"), percent), "jaccard-live")
-    links = common.written(block_links(live, percent), "jaccard-links")
+    classes, repeated = named_classes(own)
+    # Almost all rows are named by the smallest doc_id of their set; the few other names come with the join.
+    other = common.written(classes.where("node <> first").select("digest", "n", F.col("node").alias("other")), "jaccard-names")
+    cells = packed.where("kind = 1").join(other, ["digest", "n"], "left").select(F.coalesce("other", "doc_id").alias("node"), "n", "column")
+    live = common.written(live_rows(cells, percent), "jaccard-live")
+    same_id = own.where("n > 0").join(repeated.where("least < most"), "doc_id").join(classes, ["digest", "n"]).select(F.col("node").alias("a"), "least")
+    same_id = same_id.join(classes.select(F.struct("digest", "n").alias("least"), F.col("node").alias("b")), "least").select("a", "b")
+    links = common.written(block_links(live, percent).unionByName(same_id), "jaccard-links")
     root = components(links, "jaccard-roots")
-    rows = own.join(classes, ["digest", "n"], "left").join(root, "node", "left")
+    root = common.written(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "first"), "node"), "jaccard-members")
+    component = root.join(root.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
+    # A text without shingles goes with the other texts of its doc_id.
+    rows = own.join(repeated.where("empty").select("doc_id", "least"), "doc_id", "left").withColumn("set", F.when(F.col("n") > 0, F.struct("digest", "n")).otherwise(F.col("least")))
+    rows = rows.join(classes.select(F.struct("digest", "n").alias("set"), "first", "node"), "set", "left").join(component, "node", "left")
     return rows.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("root", "node", "doc_id").alias("component_id")
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"),
     )
 
 
