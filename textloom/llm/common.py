@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,19 +11,13 @@ from pyspark.sql.window import Window
 #: ASCII letters for translate(), which leaves every other letter as it is.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one task ranks at most; buckets are added as the input grows.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 8_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"textloom-{os.getuid()}")
-    os.makedirs(own, exist_ok=True)
-    return "file://" + own
+    """A folder that the driver and all executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -57,19 +49,24 @@ def buckets_for(rows: int) -> int:
 
 
 def numbered(df: DataFrame, keys: list[str], by: str, buckets: int | Column, name: str) -> DataFrame:
-    """Add name: 0, 1, 2 ... within keys, without ever sorting a whole key in one task.
+    """Add name: 0, 1, 2 ... within keys, without ever sorting a whole key in one task."""
+    return running_total(df, keys, by, F.lit(1), buckets, name)
 
-    by is a column that tells rows apart. Rows are dealt into buckets by a hash of it; each bucket is numbered by
-    itself and starts where the buckets before it end. The totals are one row for each key and bucket.
+
+def running_total(df: DataFrame, keys: list[str], by: str, weight: Column, buckets: int | Column, name: str) -> DataFrame:
+    """Add name: the sum of weight over the rows before each, within keys.
+
+    by is a column that tells rows apart. Rows are dealt into buckets by a hash of it; each bucket is added up by itself
+    and starts where the buckets before it end. The totals are one row for each key and bucket.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(buckets) if isinstance(buckets, int) else buckets))
-    own = Window.partitionBy(*keys, "_bucket").orderBy(by)
-    totals = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(buckets) if isinstance(buckets, int) else buckets)).withColumn("_w", weight)
+    own = Window.partitionBy(*keys, "_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
-        df.withColumn("_at", F.row_number().over(own) - 1)
+        df.withColumn("_at", F.coalesce(F.sum("_w").over(own), F.lit(0)))
         .join(totals, [*keys, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_at")).cast("long"))
-        .drop("_bucket", "_at", "_before")
+        .drop("_bucket", "_w", "_at", "_before")
     )

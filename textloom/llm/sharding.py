@@ -1,15 +1,20 @@
 """Operator 10: balanced label propagation over documents with equal texts, in DataFrame operations only.
 
-Linked documents (equal texts) start spread evenly over the shards. In each round every group of linked documents
-prefers the shard that holds most of it, and members elsewhere ask to move there. A shard takes movers up to its quota:
-into its free places, and one for one against movers that go the other way. Documents that are linked with none fill
-the rest, so shard sizes in rows differ by one at most (law ``rows``).
+Linked documents (equal texts) are dealt over the shards in turn, by a running total over their groups, so loads start
+within one of each other and below every shard's capacity. In each round a group's documents propose to move to the
+group's target shards: the one that holds most of it, or for a group that no shard can hold alone, as many shards as it
+needs, those first that hold or have room for most of it. A shard takes movers up to its quota: into its free places, and
+one for one against movers that go the other way, so no load ever exceeds its capacity. Rounds follow one another while
+the number of pairs kept together rises by GAIN of itself. Documents that are linked with none fill the rest, so shard
+sizes in rows differ by one at most (law ``rows``), whatever the links.
 
 The state is one row for each group and shard (members of a group are alike), so a group that holds a third of all rows
 is forty rows of state. Nothing but forty numbers reaches the driver.
 
-Defined results: a null text counts as empty bytes and is equal to other null texts, not to empty ones; rows that repeat
-are documents of their own; an empty table gives no rows.
+Defined results: a null text counts as empty bytes and is equal to other null texts, not to empty ones, which are equal
+to each other; very long texts are told by a digest of the whole; rows that repeat, with or without a doc_id, are
+documents of their own; with fewer rows than shards some shards stay empty; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +25,11 @@ from pyspark.sql.window import Window
 
 from . import common
 
+#: Another round follows one that raised the number of pairs kept together by this share.
+GAIN = 0.001
+#: Buckets of a flow between two shards, which is dealt out by running totals.
+BUCKETS = 64
+
 
 def capacity(rows: int, shards: int):
     """Places of a shard: all have rows // shards, the first rows % shards have one more."""
@@ -27,29 +37,36 @@ def capacity(rows: int, shards: int):
 
 
 def spread(groups: DataFrame, shards: int) -> DataFrame:
-    """First labels: the members of all groups in one row, dealt over the shards in turn."""
-    total = groups.count()
-    ranked = common.numbered(groups, [], "gid", common.buckets_for(total), "place")
-    first = F.pmod(F.col("place") * 7 + F.pmod(F.xxhash64("gid"), F.lit(shards)), F.lit(shards))
-    return ranked.select("gid", "n", first.alias("first")).select(
-        "gid",
-        F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)) - 1)).alias("i"),
-        "n",
-        "first",
-    ).select("gid", F.pmod(F.col("first") + F.col("i"), F.lit(shards)).alias("shard"), ((F.col("n") - 1 - F.col("i")) / shards).cast("long").alias("cnt")).withColumn("cnt", F.col("cnt") + 1)
+    """First labels, (gid, shard, cnt): the members of all groups (gid, n) one after another, dealt over the shards in turn."""
+    first = common.running_total(groups, [], "gid", F.col("n"), common.buckets_for(groups.count()), "first")
+    each = first.select("gid", "n", "first", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)) - 1)).alias("i"))
+    count = F.floor((F.col("n") - 1 - F.col("i")) / shards) + 1
+    return each.select("gid", F.pmod(F.col("first") + F.col("i"), F.lit(shards)).cast("long").alias("shard"), count.cast("long").alias("cnt"))
+
+
+def proposals(state: DataFrame, free: DataFrame, rows: int, shards: int) -> DataFrame:
+    """(gid, src, dst, cnt): documents of a group outside its target shards, and the target that they ask for."""
+    votes = state.join(F.broadcast(free), "shard")  # a row for each shard
+    group = Window.partitionBy("gid")
+    votes = votes.withColumn("n", F.sum("cnt").over(group))
+    could = F.least(F.col("n"), F.col("cnt") + F.col("free"))
+    order = Window.partitionBy("gid").orderBy(could.desc(), F.col("cnt").desc(), F.xxhash64("gid", "shard"), "shard")
+    votes = votes.withColumn("nth", F.row_number().over(order) - 1)
+    votes = votes.withColumn("covered", F.coalesce(F.sum(could).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    needed = F.ceil(F.col("n") / max(1, -(-rows // shards)))
+    votes = votes.withColumn("target", (F.col("nth") < needed) | ((F.col("free") > 0) & (F.col("covered") < F.col("n"))))
+    votes = votes.withColumn("targets", F.array_sort(F.collect_set(F.when(F.col("target"), F.col("shard"))).over(group)))
+    dst = F.element_at("targets", (F.pmod(F.col("nth"), F.size("targets")) + 1).cast("int"))
+    return votes.where("not target").select("gid", F.col("shard").alias("src"), dst.alias("dst"), "cnt")
 
 
 def propagate(state: DataFrame, rows: int, shards: int) -> DataFrame:
     """One round: (gid, shard, cnt) before and after."""
-    spark = state.sparkSession
-    all_shards = spark.range(shards).select(F.col("id").alias("shard"))
+    all_shards = state.sparkSession.range(shards).select(F.col("id").alias("shard"))
     load = state.groupBy("shard").agg(F.sum("cnt").alias("load"))
     free = all_shards.join(load, "shard", "left").select("shard", (capacity(rows, shards) - F.coalesce("load", F.lit(0))).alias("free"))
-    # The shard that holds most of a group, among those that have places or hold the largest part.
-    votes = state.join(F.broadcast(free), "shard")
-    most = F.max(F.struct(F.when(F.col("free") > 0, F.col("cnt")).otherwise(F.lit(0)).alias("score"), "cnt", F.xxhash64("gid", "shard").alias("tie"), "shard"))
-    best_open = votes.groupBy("gid").agg(most.alias("b"), F.max("cnt").alias("top")).select("gid", F.col("b.shard").alias("to"), F.col("b.cnt").alias("to_cnt"))
-    wants = state.join(best_open, "gid").where((F.col("shard") != F.col("to")) & (F.col("cnt") <= F.col("to_cnt"))).select("gid", F.col("shard").alias("src"), F.col("to").alias("dst"), "cnt")
+    wants = proposals(state, free, rows, shards)
+    # Flows are a row for each two shards at most.
     flows = wants.groupBy("src", "dst").agg(F.sum("cnt").alias("want"))
     back = flows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("want").alias("back"))
     both = flows.join(F.broadcast(back), ["src", "dst"], "left").withColumn("swap", F.least("want", F.coalesce("back", F.lit(0))))
@@ -58,7 +75,7 @@ def propagate(state: DataFrame, rows: int, shards: int) -> DataFrame:
     taken = F.coalesce(F.sum("rest").over(by_dst), F.lit(0))
     quota = both.withColumn("admitted", F.col("swap") + F.greatest(F.lit(0), F.least(F.col("rest"), F.col("free") - taken))).select("src", "dst", "admitted")
     # Admit movers of each flow up to its quota; running totals by bucket, so that no flow is one task's.
-    wants = wants.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(64)))
+    wants = wants.withColumn("bucket", F.pmod(F.xxhash64("gid"), F.lit(BUCKETS)))
     sums = wants.groupBy("src", "dst", "bucket").agg(F.sum("cnt").alias("m"))
     earlier = Window.partitionBy("src", "dst").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "dst", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
@@ -74,9 +91,23 @@ def propagate(state: DataFrame, rows: int, shards: int) -> DataFrame:
     return state.unionByName(changes).groupBy("gid", "shard").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 6) -> DataFrame:
+def settled(state: DataFrame, rows: int, shards: int) -> DataFrame:
+    """The labels after so many rounds as pay."""
+    kept = lambda s: s.agg(F.coalesce(F.sum(F.col("cnt").cast("double") * F.col("cnt")), F.lit(0.0))).first()[0]
+    best = kept(state)
+    while best:
+        after = common.written(propagate(state, rows, shards), "shard-state")
+        now = kept(after)
+        if now <= best:
+            break
+        state, gain, best = after, now - best, now
+        if gain < GAIN * now:
+            break
+    return state
+
+
+def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Rows of docs with size, text_crc32, law, shard, slot and grown_shard (null under law ``rows``)."""
-    spark = docs.sparkSession
     text = F.col("text").cast("binary")
     base = common.written(
         docs.select(
@@ -91,9 +122,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 6) -> DataFrame:
     rows = base.count()
     groups = base.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = common.written(groups, "shard-groups")
-    state = common.written(spread(groups, shards), "shard-state")
-    for _ in range(rounds):
-        state = common.written(propagate(state, rows, shards), "shard-state")
+    state = settled(common.written(spread(groups, shards), "shard-state"), rows, shards)
     # Places of the linked documents: the shards of a group one after another, its members in turn.
     upto = Window.partitionBy("gid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     places = state.select("gid", "shard", F.sum("cnt").over(upto).alias("upto")).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("places"))
@@ -104,6 +133,8 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 6) -> DataFrame:
     # The rest fill what is left of each shard; forty numbers tell where each shard's share of them ends.
     load = {r["shard"]: r["load"] for r in state.groupBy("shard").agg(F.sum("cnt").alias("load")).collect()}
     room = [rows // shards + (s < rows % shards) - load.get(s, 0) for s in range(shards)]
+    if min(room) < 0:
+        raise ValueError(f"a shard has more documents than places: {room}")
     single = base.join(groups, "gid", "left_anti").select("doc_id", "size", "text_crc32", "rid")
     single = common.numbered(single, [], "rid", common.buckets_for(rows), "place")
     ends, end = F.lit(None).cast("long"), sum(room)
