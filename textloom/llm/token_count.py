@@ -33,8 +33,13 @@ from . import common
 from .tokens import byte_units, in_parts
 
 CHUNK = 128
-#: States and words that a worker remembers; it forgets all of them beyond that, and finds them again.
-MOST_STATES, MOST_WORDS, MOST_PAIRS = 400_000, 400_000, 1_000_000
+#: States, edges and words that a worker remembers; it forgets all of them beyond that, and finds them again.
+MOST_STATES, MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000, 1_000_000
+#: Words of more bytes are read one by one, the others side by side.
+LONG = 64
+#: Odd factors: of code points, of places in a word, and of slots. INVERSE undoes PLACE modulo 2 ** 64.
+POINT, PLACE, SLOT = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xC2B2AE3D27D4EB4F
+INVERSE = pow(PLACE, -1, 1 << 64)
 
 LETTER, S1, R, V, L2, E, NUMBER, SPACE, WHITE, QUOTE, OTHER, STOP, SAME = range(13)
 START, IN_L, IN_N, IN_O, SP1, WH1, SP2, WH2, APOS, APOS_R, APOS_V, APOS_L = range(12)
@@ -85,7 +90,8 @@ def classes() -> np.ndarray:
     """The class of each code point, by the tokenizer library's own tables."""
     from tokenizers import Regex, pre_tokenizers
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # Beyond these planes no code point is a letter, a number or white space.
+    points = [c for c in (*range(0x40000), *range(0xE0000, 0xE1000)) if not 0xD800 <= c < 0xE000]
     table = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, points))
     index = np.array(points)
@@ -126,35 +132,128 @@ def starts(read: np.ndarray, step: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return begins
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_keys(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word points[begin:end]: a polynomial in its mixed code points, by differences of running sums."""
+    mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(POINT)
+    mixed ^= mixed >> np.uint64(29)
+    n = len(points) + 1
+    total = np.zeros(n, np.uint64)
+    np.cumsum(mixed * powers(PLACE, n)[:-1], out=total[1:])
+    keys = (total[end] - total[begin]) * powers(INVERSE, n)[begin]
+    keys = (keys ^ (end - begin).astype(np.uint64)) * np.uint64(SLOT)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
+
+
+class Numbers:
+    """A map from 64-bit keys (other than -1) to pairs of 32-bit numbers, for many keys at once: open addressing in arrays."""
+
+    def __init__(self) -> None:
+        self.size, self.keys, self.values = 0, np.full(1 << 12, -1, np.int64), np.zeros((1 << 12, 2), np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(SLOT)) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it is not there."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        todo = np.flatnonzero(held != keys)
+        while len(todo):
+            free = self.keys[slot[todo]] == -1
+            slot[todo[free]] = -1
+            todo = todo[~free]
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+        return slot
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        self.size += len(keys)
+        if 2 * self.size > len(self.keys):
+            old = self.keys != -1
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            room = 1 << (4 * self.size).bit_length()
+            self.keys, self.values = np.full(room, -1, np.int64), np.zeros((room, 2), np.int32)
+        slot = self._slot(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            own = slot[todo]
+            free = self.keys[own] == -1
+            self.keys[own[free]] = keys[todo[free]]  # of several on one slot the last one stays
+            done = self.keys[own] == keys[todo]
+            self.values[own[done]] = values[todo[done]]
+            todo = todo[~done]
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+
+
 class Merger:
-    """The second transducer: bytes of a word to the number of its tokens."""
+    """The second transducer: bytes of a word to the number of its tokens. Tokens are numbered: bytes, then merges by rank."""
 
     def __init__(self, model: dict):
         unit = {u: b for b, u in byte_units().items()}
-        name = {t: bytes(unit[c] for c in t) for t in model["vocab"] if all(c in unit for c in t)}
-        self.rank: dict[tuple[bytes, bytes], int] = {}
+        number = {bytes([b]): b for b in range(256)}
+        #: (left << 20 | right) to the rank of their merge, and by token: when it is made (-1: a byte), and from what.
+        self.rank: dict[int, int] = {}
+        self.made, self.left, self.right = [-1] * 256, [*range(256)], [*range(256)]
         for i, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[name[a], name[b]] = i
+            a, b = (bytes(unit[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
+            self.rank[number[a] << 20 | number[b]] = i
+            if a + b not in number:
+                number[a + b] = len(number)
+                self.made.append(i)
+                self.left.append(number[a])
+                self.right.append(number[b])
         #: Trie of tokens: (node << 8 | byte) to node; 0 is the root.
         self.child: dict[int, int] = {}
-        self.token: dict[int, bytes] = {}
+        self.token: dict[int, int] = {}
         self.inner: set[int] = {0}
-        for t in sorted(set(name.values())):
+        stands = [True] * 256  # whether a token is what its own bytes merge to
+        for t in range(256, len(number)):
+            a, b = self.left[t], self.right[t]
+            stands.append(stands[a] and stands[b] and self._apart(a, b, self.made[t]))
+        for name, t in number.items():
             node = 0
-            for b in t:
+            for b in name:
                 self.inner.add(node)
                 node = self.child.setdefault(node << 8 | b, len(self.child) + 1)
-            if self.merged(t) == [t]:
+            if stands[t]:
                 self.token[node] = t
         self._forget()
 
+    def _apart(self, x: int, y: int, until: int) -> bool:
+        """Whether no merge of a rank below until joins across the border of the neighbours x and y.
+
+        What stands left and right of the border at any time is found by undoing the merges of both, the latest first. A
+        pair across the border is joined if its rank comes before the ranks at which either side is taken into a longer
+        token; of equal ranks the one further left comes first.
+        """
+        rank, made = self.rank, self.made
+        left_taken = right_taken = until
+        while True:
+            m = rank.get(x << 20 | y)
+            if m is not None and m < left_taken and m <= right_taken and m < until:
+                return False
+            if made[x] > made[y]:
+                left_taken, x = made[x], self.right[x]
+            elif made[y] >= 0:
+                right_taken, y = made[y], self.left[y]
+            else:
+                return True
+
     def _forget(self) -> None:
         self.state: dict[tuple, int] = {}
         self.chain: list[tuple] = []
         self.edge: dict[int, tuple[int, int]] = {}
-        self.pair: dict[tuple[bytes, bytes], bool] = {}
-        self.first = self._named(((0, b"", 0),))
+        self.edges = Numbers()
+        self.pair: dict[int, bool] = {}
+        self.first = self._named(((0, -1, 0),))
 
     def _named(self, chain: tuple) -> int:
         found = self.state.get(chain)
@@ -163,36 +262,17 @@ class Merger:
             self.chain.append(chain)
         return found
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """Plain merging, for a token or a pair of tokens: what the transitions are made from."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:], strict=False)]
-            low = min(ranks)
-            if low == 1 << 60:
-                break
-            done, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and ranks[i] == low and self.rank.get((parts[i], parts[i + 1])) == low:
-                    done.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    done.append(parts[i])
-                    i += 1
-            parts = done
-        return parts
-
-    def admits(self, left: bytes, right: bytes) -> bool:
-        if not left:
+    def admits(self, left: int, right: int) -> bool:
+        if left < 0:
             return True
-        found = self.pair.get((left, right))
+        found = self.pair.get(left << 20 | right)
         if found is None:
-            found = self.pair[left, right] = self.merged(left + right) == [left, right]
+            found = self.pair[left << 20 | right] = self._apart(left, right, 1 << 60)
         return found
 
     def _new_edge(self, at: int, byte: int) -> tuple[int, int]:
         """A state's chain: (node, last token before that suffix, its count less the whole's), longest suffix first."""
-        after, last, count = [], b"", None
+        after, last, count = [], -1, None
         for node, left, less in self.chain[at]:
             to = self.child.get(node << 8 | byte)
             if to is None:
@@ -206,8 +286,6 @@ class Merger:
         return made, count
 
     def count(self, word: bytes) -> int:
-        if len(self.chain) > MOST_STATES or len(self.pair) > MOST_PAIRS:
-            self._forget()
         at, total, edge = self.first, 0, self.edge
         for b in word:
             found = edge.get(at << 8 | b) or self._new_edge(at, b)
@@ -215,6 +293,36 @@ class Merger:
             total += found[1]
         return total
 
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """The tokens of each word: a byte of all words at a time."""
+        if len(self.chain) > MOST_STATES or len(self.pair) > MOST_PAIRS:
+            self._forget()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(sizes) - sizes
+        every = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        total = np.zeros(len(words), np.int64)
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            total[i] = self.count(words[i])
+        order = np.argsort(-np.where(sizes > LONG, 0, sizes), kind="stable")
+        order = order[sizes[order] <= LONG]
+        left = np.searchsorted(-sizes[order], -np.arange(LONG), "left")  # words of more than so many bytes
+        state = np.full(len(order), self.first, np.int64)
+        for j, k in enumerate(left.tolist()):
+            if not k:
+                break
+            own = order[:k]
+            keys = state[:k] << 8 | every[begin[own] + j]
+            slot = self.edges.find(keys)
+            if (slot < 0).any():
+                new = np.unique(keys[slot < 0])
+                made = [self.edge.get(x) or self._new_edge(x >> 8, x & 255) for x in new.tolist()]
+                self.edges.put(new, np.array(made, np.int32))
+                slot = self.edges.find(keys)
+            found = self.edges.values[slot]
+            state[:k] = found[:, 0]
+            total[own] += found[:, 1]
+        return total
+
 
 class Counter:
     def __init__(self, path: str):
@@ -224,7 +332,7 @@ class Counter:
         self.merger = Merger(tokenizer["model"])
         self.step, self.mark = cutter()
         self.classes = classes()
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
 
     def counts(self, texts: list[str]) -> np.ndarray:
         pieces, owner, extra = [], [], np.zeros(len(texts), np.int64)
@@ -246,12 +354,18 @@ class Counter:
         read[ends] = STOP
         at = np.flatnonzero(starts(read, self.step, self.mark))
         stop = np.minimum(np.append(at[1:], len(stream)), ends[np.searchsorted(ends, at)])
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        words = [stream[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
-        for word in set(words).difference(self.known):
-            self.known[word] = self.merger.count(word.encode())
-        each = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.size > MOST_WORDS:
+            self.known = Numbers()
+        keys = word_keys(points, at, stop)
+        slot = self.known.find(keys)
+        if (slot < 0).any():
+            missing = np.flatnonzero(slot < 0)
+            new, first = np.unique(keys[missing], return_index=True)
+            some = missing[first]
+            words = [stream[a:b].encode() for a, b in zip(at[some].tolist(), stop[some].tolist(), strict=True)]
+            self.known.put(new, np.stack([self.merger.counts(words), np.zeros(len(new), np.int64)], axis=1).astype(np.int32))
+            slot = self.known.find(keys)
+        each = self.known.values[slot, 0]
         which = np.asarray(owner, np.int64)[np.searchsorted(ends, at)]
         return extra + np.bincount(which, each, len(texts)).astype(np.int64)
 
