@@ -1,11 +1,9 @@
 import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
-
-from textloom.llm import chars
-from textloom.llm.quality import judge, kneser_ney, op4_quality_rules
+from textloom.llm.quality import FENCE, FEW, LEAST_SPREAD, PRIOR, gram_counts, judge, keep, kneser_ney, op4_quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -39,42 +37,132 @@ def test_base_counts_and_verdicts(spark, sf_dir):
     assert len(plain & kept) >= 0.98 * len(plain), [text[d][:80] for d in plain - kept]
 
 
-def test_probabilities_sum_to_one_and_follow_the_formula():
-    rng = np.random.default_rng(3)
-    read = rng.choice(12, 4000, p=np.arange(1, 13) / 78).astype(np.uint8)
-    order = 3
-    grams, n = np.unique(chars.packed(np.append(np.zeros(2, np.uint8), read), np.array([0, 4002]), order), return_counts=True)
-    table = 10.0 ** kneser_ney(grams, n, order).table().astype(float)
-    assert np.allclose(table.reshape(-1, chars.SYMBOLS).sum(axis=1), 1, atol=1e-4)
-    want = reference({(int(g) >> 12, int(g) >> 6 & 63, int(g) & 63): int(c) for g, c in zip(grams, n, strict=True)})
-    for a, b, c in [(0, 0, 5), (3, 7, 11), (11, 11, 11), (1, 1, 1), (50, 4, 2), (60, 60, 60)]:
-        assert math.isclose(table[a << 12 | b << 6 | c], want((a, b, c)), rel_tol=1e-3)
+def folded(text):
+    return ["9" if c.isdigit() else "A" if c.isupper() else c for c in text]
 
 
-def reference(counts):
-    """Interpolated modified Kneser-Ney, written out."""
-    levels = {3: counts}
-    for k in (2, 1):
+def reference(texts):
+    """Interpolated modified Kneser-Ney of four symbols, written out; texts of one language."""
+    levels = {4: Counter(tuple(x[i : i + 4]) for t in texts for x in [["^"] * 3 + folded(t)] for i in range(len(x) - 3))}
+    for k in (3, 2, 1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
-    cuts = {}
+    cuts, totals, taken = {}, {}, {}
     for k, own in levels.items():
         t = [max(1, sum(v == i for v in own.values())) for i in (1, 2, 3, 4)]
         y = t[0] / (t[0] + 2 * t[1])
         cuts[k] = [0] + [min(max(i - (i + 1) * y * t[i] / t[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+        totals[k], taken[k] = Counter(), Counter()
+        for g, v in own.items():
+            totals[k][g[:-1]] += v
+            taken[k][g[:-1]] += cuts[k][min(v, 3)]
 
     def p(gram):
         if not gram:
-            return 1 / chars.SYMBOLS
-        own, cut = levels[len(gram)], cuts[len(gram)]
-        after = [v for g, v in own.items() if g[:-1] == gram[:-1]]
-        if not after:
-            return p(gram[1:])
-        n = own.get(gram, 0)
-        return (n - cut[min(n, 3)] + sum(cut[min(v, 3)] for v in after) * p(gram[1:])) / sum(after)
+            return 1 / (len(levels[1]) + 1)
+        k = len(gram)
+        n = levels[k].get(gram, 0)
+        return (n - cuts[k][min(n, 3)] + taken[k][gram[:-1]] * p(gram[1:])) / totals[k][gram[:-1]]
 
     return p
 
 
+def brute(docs):
+    """(perplexity, kept) of each of docs (doc_id, text, lang), in their order."""
+    of = defaultdict(list)
+    for _, t, lang in docs:
+        of[lang].append(t or "")
+    model = {lang: reference(texts) for lang, texts in of.items()}
+    xs, known = [], {}
+    for _, t, lang in docs:
+        t = t or ""
+        solid = sum(c.isalnum() for c in t)
+        x = ["^"] * 3 + folded(t)
+        memo = known.setdefault(lang, {})
+        total = 0
+        for i in range(len(t)):
+            g = tuple(x[i : i + 4])
+            if g not in memo:
+                memo[g] = math.log10(model[lang](g))
+            total -= memo[g]
+        xs.append(total / solid if solid else None)
+    size = lambda t: min(max(int(math.log2(len(t or "") + 1)), 5), 13)
+    at = lambda values, q: sorted(values)[math.ceil(q * len(values)) - 1]
+    clean = [(size(t), lang, x) for (_, t, lang), x in zip(docs, xs, strict=True) if x is not None and not base(t)[-1]]
+    middle = {lang: at([x for _, k, x in clean if k == lang], 0.5) for lang in {k for _, k, _ in clean}}
+    groups = defaultdict(list)
+    for s, lang, x in clean:
+        for key in ("all", s, (lang, s)):
+            groups[key].append(x - middle[lang])
+    out = []
+    for (_, t, lang), x in zip(docs, xs, strict=True):
+        if x is None or base(t)[-1]:
+            out.append((None if x is None else 10**x, False))
+            continue
+        fine, whole, n_lang = groups[lang, size(t)], groups[size(t)], sum(k == lang for _, k, _ in clean)
+        n, m = len(fine), len(whole)
+        low, high = (middle[lang] + (n * at(fine, q) + PRIOR * (m * at(whole, q) + PRIOR * at(groups["all"], q)) / (m + PRIOR)) / (n + PRIOR) for q in (0.25, 0.75))
+        spread = max(high - low, LEAST_SPREAD) * FENCE * (1 + (FEW / n_lang) ** 2)
+        out.append((10**x, low - spread <= x <= high + spread))
+    return out
+
+
+def test_whole_result_equals_brute_force(spark, sf_dir, monkeypatch):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = {d: w for (d, _, _), w in zip(docs, brute(docs), strict=True)}
+    one = {r.doc_id: (r.perplexity, r.kept) for r in op4_quality_rules(spark, sf_dir).collect()}
+    assert {d: k for d, (_, k) in one.items()} == {d: k for d, (_, k) in want.items()}
+    assert all(math.isclose(one[d][0], want[d][0], rel_tol=1e-4) for d in want)
+    monkeypatch.setattr("textloom.llm.quality.SLICE", 9_000)  # many slices, each a pass
+    many = {r.doc_id: (r.perplexity, r.kept) for r in op4_quality_rules(spark, sf_dir).collect()}
+    assert all(math.isclose(one[d][0], many[d][0], rel_tol=1e-9) and one[d][1] == many[d][1] for d in one)
+    kept = keep(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, (_, k) in one.items() if k}
+
+
+def test_probabilities_by_language(spark):
+    rng = random.Random(3)
+    texts = [("".join(rng.choice("aabbbccd e9Z") for _ in range(rng.randrange(60))), lang) for lang in ("x", "", None) for _ in range(40)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    got = defaultdict(dict)
+    for r in kneser_ney(gram_counts(df)).collect():
+        got[r.lang][r.hi, r.lo] = r.p
+    symbol = lambda c: {"^": 0, "A": 1, "9": 2}.get(c, ord(c))
+    for lang in ("x", "", None):
+        own = [t for t, x in texts if x == lang]
+        p = reference(own)
+        grams = {tuple(x[i : i + 4]) for t in own for x in [["^"] * 3 + folded(t)] for i in range(len(x) - 3)}
+        assert len(grams) == len(got[lang])
+        for g in grams:
+            a, b, c, d = map(symbol, g)
+            assert math.isclose(got[lang][a << 21 | b, c << 21 | d], p(g), rel_tol=1e-9)
+
+
+def test_every_script_has_its_letters(spark):
+    """A language of far more than 64 letters, seldom in the corpus: shuffled characters are rejected, clean texts are not."""
+    rng = random.Random(5)
+    words = ["".join(chr(0x4E00 + rng.randrange(900)) for _ in range(2)) for _ in range(300)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(60)), "zh") for i in range(150)]
+    for i in range(150, 156):
+        letters = list("".join(rng.choice(words) for _ in range(60)))
+        rng.shuffle(letters)
+        docs.append((i, " ".join(a + b for a, b in zip(letters[::2], letters[1::2], strict=True)), "zh"))
+    docs += [(1000 + i, " ".join(rng.choice(("the", "plain", "words", "of", "english", "text", "here", "and", "there")) for _ in range(60)), "en") for i in range(600)]
+    kept = {r.doc_id for r in judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect() if r.kept}
+    assert not kept & set(range(150, 156))
+    assert len(kept & set(range(150))) >= 148 and len(kept) >= 740
+
+
+def test_digits_are_scored(spark):
+    """Random strings of letters and digits are no language, however few plain words stand between."""
+    rng = random.Random(8)
+    plain = "the plain words of an english text stand here and there with more of them".split()
+    docs = [(i, " ".join(rng.choice(plain) for _ in range(60)), "en") for i in range(300)]
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12)) for _ in range(300)]
+    docs += [(300 + i, " ".join([*keys[50 * i : 50 * i + 50], *plain]), "en") for i in range(6)]
+    kept = {r.doc_id for r in judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect() if r.kept}
+    assert not kept & set(range(300, 306)) and len(kept) >= 297
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     docs = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
     got = judge(odd_docs)

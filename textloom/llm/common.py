@@ -30,6 +30,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, build):
+    """What a worker builds once and uses for all its tasks of one kind; a task of another kind makes room first.
+
+    Workers live on from stage to stage, so an earlier operator's tables must not stay in them.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

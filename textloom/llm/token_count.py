@@ -370,20 +370,16 @@ class Counter:
         return extra + np.bincount(which, each, len(texts)).astype(np.int64)
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row of docs; name: a byte-level BPE file of public_tokenizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        if name not in _counters:
-            _counters[name] = Counter(public_tokenizers.path(name))
+        counter = common.kept(("counter", name), lambda: Counter(public_tokenizers.path(name)))
         for batch in batches:
             texts = batch["text"].to_pylist()
-            found = [np.zeros(0, np.int64), *(_counters[name].counts(texts[part]) for part in in_parts(texts))]
+            found = [np.zeros(0, np.int64), *(counter.counts(texts[part]) for part in in_parts(texts))]
             yield pa.record_batch({"doc_id": batch["doc_id"], "n_bytes": pa.compute.binary_length(batch["text"].cast(pa.binary())).cast(pa.int64()), "n_tokens": np.concatenate(found)})
 
     return common.doc_rows(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

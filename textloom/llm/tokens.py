@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from . import common
+
 #: Segments that a worker remembers; it forgets all of them beyond that.
 REMEMBERED = 700_000
 #: Before a space that follows neither a space nor any other character that counts as white space.
@@ -24,7 +26,6 @@ _CUT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff])(?= )")
 _SIGNS = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[!-&(-/:-@\\[-`{-~]+(?=[ \n]|$)")
 #: One word of letters whose composed form and lower case are one code point each, and signs that are no apostrophe.
 _WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
-_encoders: dict[str, "SegmentEncoder"] = {}
 
 
 class Places(dict):
@@ -146,9 +147,7 @@ def byte_units() -> dict[int, str]:
 
 
 def encoder(name: str) -> SegmentEncoder:
-    if name not in _encoders:
-        _encoders[name] = SegmentEncoder(name)
-    return _encoders[name]
+    return common.kept(("segments", name), lambda: SegmentEncoder(name))
 
 
 def in_parts(texts: list[str], characters: int = 2_000_000):

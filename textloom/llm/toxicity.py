@@ -186,9 +186,6 @@ def features(texts: list[str], tokens: Tokens) -> np.ndarray:
     return out
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def with_features(docs: DataFrame, words: dict[str, float]) -> DataFrame:
     """docs (doc_id, text, and more) with text replaced by features."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -196,13 +193,11 @@ def with_features(docs: DataFrame, words: dict[str, float]) -> DataFrame:
     more = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _tokens:
-            _tokens.clear()
-            _tokens[name] = Tokens(shared.value)
+        tokens = common.kept(("toxicity", name), lambda: Tokens(shared.value))
         for batch in batches:
             texts = batch["text"].to_pylist()
             for part in in_parts(texts):
-                own = features(texts[part], _tokens[name])
+                own = features(texts[part], tokens)
                 flat = pa.array(own.ravel())
                 lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * len(FEATURES), flat)
                 yield pa.record_batch({f.name: batch[f.name][part.start : part.stop] for f in more} | {"features": lists})
