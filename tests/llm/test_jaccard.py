@@ -48,6 +48,7 @@ def test_same_as_brute_force(spark, sf_dir):
 
 def test_chains_and_large_groups(spark, monkeypatch):
     monkeypatch.setattr("textloom.llm.jaccard.BLOCK_ROWS", 8)
+    monkeypatch.setattr("textloom.llm.jaccard.HOT", 3)
     rng = random.Random(7)
     docs, base = [], [f"w{i}" for i in range(60)]
     for i in range(120):  # a chain: each text drops a word and takes a new one
@@ -59,7 +60,10 @@ def test_chains_and_large_groups(spark, monkeypatch):
         own[rng.randrange(80)] = f"x{i}"
         docs.append((2000 + i, " ".join(own)))
     docs += [(3000 + i, "same short text") for i in range(40)] + [(4000, "Same SHORT text"), (4001, "same short")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # A line that unlike texts share, in hot columns of some parts and not of others.
+    docs += [(5000 + i, " ".join([f"u{i}_{k}" for k in range(30)] + hot[:40])) for i in range(30)] + [(5100 + i, " ".join(hot[:40] + [f"v{i}"])) for i in range(9)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = sorted((tuple(r) for r in join(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == brute(docs)
 

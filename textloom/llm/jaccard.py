@@ -4,22 +4,25 @@
    sequence as one). They are shuffled once, packed: a row holds the hashes of a few thousand documents that fall into
    one range of hashes.
 2. Columns. A range knows every holder of its hashes, so it drops columns that one distinct set alone holds; only
-   columns with two holders or more leave it. Documents with equal sets are one row of the matrix: the set's digest and
-   size tell it, and its smallest doc_id names it (a hash, where that doc_id names another set already).
+   columns with two holders or more leave it. A column that HOT sets of one part hold is shared for certain: its cells
+   spread over all ranges and only a mark goes to its own, so a common line fills no task. Documents with equal sets are
+   one row of the matrix: the set's digest and size tell it, and its smallest doc_id names it (a hash, where that doc_id
+   names another set already).
 3. Bounds. A row links only if 0.8 of its set lies in shared columns; others go, columns are counted again, and so on.
-   In the order of rarity, rows that link share a column among their first n - ceil(0.8 n) + 1. Rows are grouped by those
-   prefix columns.
-4. Product. Each group is cut into blocks of rows ordered by size; a task multiplies two blocks of the sparse matrix and
-   keeps the pairs whose overlap reaches the bound that both sizes give. It returns links enough to hold every linked
-   pair together (a spanning forest), never all pairs, so a large group of copies stays small.
+   In the order of rarity, rows that link share a column among their first n - ceil(0.8 n) + 1.
+4. Product. Rows lie in blocks with those that share their most popular prefix column. Each block is multiplied with
+   itself, and those of a large group with the group's first one, which is linear in its size and joins copies. Then
+   pairs of blocks are multiplied that share a prefix column: only the rows that have it, whose sizes allow a link with a
+   row of the other block, and that are not yet joined to it. A product keeps the pairs whose overlap reaches the bound
+   that both sizes give, and returns links enough to hold every linked pair together (a spanning forest), never all pairs.
 5. Groups. Alternating large-star and small-star rounds of joins, over these links and those between the sets of one
    doc_id, give each row the smallest doc_id that it reaches.
 
 No pair is skipped: pairs left out by a bound cannot reach the threshold.
 
 Defined results: null and empty texts have no shingles and link with nothing; a null doc_id is reported with a null
-component and links with nothing; rows that repeat a doc_id are reported each, and the id links by any of its texts;
-further columns are ignored.
+component and links with nothing; rows that repeat a doc_id are reported each, and the id links by any of its texts; very long texts are
+whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,6 +44,8 @@ WORDS = 5
 PERCENT = 80
 #: Hashes that a range holds on average (the number of ranges follows the input), and bytes of text that a task packs at once.
 PER_RANGE, PACKED = 1_500_000, 4_000_000
+#: Sets of one part that hold a column whose cells need not meet in one range.
+HOT = 16
 #: Rows of the matrix in a block, and hashes of small groups that a task takes together.
 BLOCK_ROWS, TASK_ROWS = 512, 2_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -71,7 +76,10 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, digest, n) of each row of docs; kind 1: (doc_id, digest, n, column) of each shared column's holders."""
+    """kind 0: (doc_id, digest, n) of each row of docs; kind 1: (doc_id, digest, n, column) of each shared column's holders.
+
+    kind 2: the same of columns that HOT sets of some part hold, perhaps repeated and with another doc_id of the set.
+    """
     spark = docs.sparkSession
     # About one shingle for each six bytes of text; the bytes are known without reading what they say.
     size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
@@ -92,20 +100,32 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         stands[order[first]] = True
         keep = (stands & (known > 0))[row]
         every, row = every[keep], row[keep]
+        meta = np.stack([numbers, digests, counts, known])
+        spread = xxhash.xxh3_64_intdigest(meta.tobytes()) % ranges
+        rows = {"range": [], "meta": [], "held": [], "hashes": []}
+
+        def add(key: int, row: np.ndarray, hashes: np.ndarray, meta: np.ndarray) -> None:
+            own, held = np.unique(row, return_counts=True)
+            rows["range"].append(int(key))
+            rows["meta"].append(meta[:, own].tobytes())
+            rows["held"].append(held.astype("<u4").tobytes())
+            rows["hashes"].append(hashes.tobytes())
+
+        # Columns that many sets of a part hold are shared for certain: their cells go anywhere, and a mark to their range.
+        columns, which, times = np.unique(every, return_inverse=True, return_counts=True)
+        hot = (times >= HOT)[which]
+        if hot.any():
+            add(2 * ranges + spread, row[hot], every[hot], meta[:3])
+        marks = columns[times >= HOT]
+        every, row = np.concatenate([every[~hot], marks]), np.concatenate([row[~hot], np.full(len(marks), len(sets))])
+        marked = np.append(meta[:3], np.array([[0], [0], [-1]]), axis=1)
         part = (every % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         every, row, part = every[order], row[order], part[order]
         cuts = np.searchsorted(part, np.arange(ranges + 1))
-        meta = np.stack([numbers, digests, counts, known])
-        rows = {"range": [], "meta": [], "held": [], "hashes": []}
         for r in np.flatnonzero(np.diff(cuts)):
-            a, b = cuts[r], cuts[r + 1]
-            own, held = np.unique(row[a:b], return_counts=True)
-            rows["range"].append(int(r))
-            rows["meta"].append(meta[:3, own].tobytes())
-            rows["held"].append(held.astype("<u4").tobytes())
-            rows["hashes"].append(every[a:b].tobytes())
-        rows["range"].append(int(ranges + xxhash.xxh3_64_intdigest(meta.tobytes()) % ranges))
+            add(r, row[cuts[r] : cuts[r + 1]], every[cuts[r] : cuts[r + 1]], marked)
+        rows["range"].append(int(ranges + spread))
         rows["meta"].append(meta.tobytes())
         rows["held"].append(b"")
         rows["hashes"].append(b"")
@@ -119,8 +139,7 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
                 yield packed_rows(shingle_sets(every_text[part], words), every_id[part])
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        empty = np.zeros(0, np.int64)
-        if key[0].as_py() >= ranges:
+        if ranges <= key[0].as_py() < 2 * ranges:
             meta = np.concatenate([np.frombuffer(m, np.int64).reshape(4, -1) for m in table["meta"].to_pylist()], axis=1)
             ids = pa.array(meta[0], mask=meta[3] < 0)
             return pa.table({"kind": pa.array(np.zeros(len(ids), np.int32)), "doc_id": ids, "digest": meta[1], "n": meta[2], "column": np.zeros(len(ids), np.int64)})
@@ -128,6 +147,9 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         metas = [np.frombuffer(m, np.int64).reshape(3, -1) for m in table["meta"].to_pylist()]
         held = [np.frombuffer(h, "<u4") for h in table["held"].to_pylist()]
         meta = np.concatenate(metas, axis=1)
+        row = np.repeat(np.arange(meta.shape[1]), np.concatenate(held))
+        if key[0].as_py() >= 2 * ranges:
+            return cells(np.full(len(row), 2, np.int32), meta[:, row], hashes)
         # One number for each distinct set, with the smallest doc_id that has it.
         order = np.lexsort((meta[0], meta[2], meta[1]))
         new = np.ones(len(order), bool)
@@ -135,7 +157,7 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         head = order[new]
-        row = which[np.repeat(np.arange(meta.shape[1]), np.concatenate(held))]
+        row = which[row]
         order = np.lexsort((row, hashes))
         hashes, row = hashes[order], row[order]
         same = hashes[1:] == hashes[:-1]
@@ -143,16 +165,15 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         hashes, row = hashes[keep], row[keep]
         same = hashes[1:] == hashes[:-1]
         shared = np.append(False, same) | np.append(same, False)
-        row = head[row[shared]]
-        return pa.table(
-            {
-                "kind": pa.array(np.ones(len(row), np.int32)),
-                "doc_id": meta[0][row] if len(row) else empty,
-                "digest": meta[1][row] if len(row) else empty,
-                "n": meta[2][row] if len(row) else empty,
-                "column": hashes[shared].view(np.int64),
-            }
-        )
+        # A mark tells that the column is hot somewhere, so all its cells are of that kind.
+        n = meta[2][head][row]
+        first = np.append(True, ~same)
+        hot = np.logical_or.reduceat(n < 0, np.flatnonzero(first))[np.cumsum(first) - 1] if len(n) else np.zeros(0, bool)
+        keep = shared & (n >= 0)
+        return cells(np.where(hot[keep], 2, 1).astype(np.int32), meta[:, head[row[keep]]], hashes[keep])
+
+    def cells(kind: np.ndarray, meta: np.ndarray, hashes: np.ndarray) -> pa.Table:
+        return pa.table({"kind": kind, "doc_id": meta[0], "digest": meta[1], "n": meta[2], "column": hashes.view(np.int64)})
 
     packed = docs.mapInArrow(pack, "range long, meta binary, held binary, hashes binary")
     return packed.groupBy("range").applyInArrow(count, "kind int, doc_id long, digest long, n long, column long")
@@ -188,38 +209,74 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that hold together every pair of rows whose similarity reaches percent."""
+def prefix_columns(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, n, column, k): the columns of each row of which linked rows share one at least; k rows have it there."""
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("cells"))
-    heads = rows.select("node", F.explode(F.slice("cells", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("cell")).select("node", F.col("cell.column").alias("column"))
-    least = heads.groupBy("column").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("column", "b")
-    groups = components(heads.join(least, "column").select(F.col("node").alias("a"), "b").distinct(), "jaccard-groups")
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    rows = rows.join(groups, "node").select("root", "node", "n", F.transform("cells", lambda c: c["column"]).alias("columns"))
-    rows = common.written(rows, "jaccard-rows")
-    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("k"))
-    rows = rows.join(sizes, "root")
-    # Large groups: rows are dealt into blocks, and each pair of blocks is a task's.
-    blocks = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    large = rows.where(F.col("k") > BLOCK_ROWS).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "columns")
-    tasks = max(1, rows.count() // TASK_ROWS)
-    small = rows.where(F.col("k") <= BLOCK_ROWS).select(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), "root", "node", "n", "columns")
-
-    def forest(a: pd.DataFrame, b: pd.DataFrame | None) -> list[tuple[int, int]]:
-        return _forest(a, b, percent)
-
-    def of_small(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [x for _, g in pdf.groupby("root") for x in forest(g, None)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    heads = rows.select("node", "n", F.explode(F.slice("cells", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("cell")).select("node", "n", F.col("cell.column").alias("column"))
+    often = heads.groupBy("column").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    return heads.join(often, "column")
+
+
+def _blocks(of: Column, size: Column, by: Column) -> tuple[Column, Column]:
+    """(block, part): what belongs together by the value of, in blocks of about BLOCK_ROWS rows if it has more."""
+    part = F.when(size > BLOCK_ROWS, F.pmod(F.xxhash64(by), F.ceil(size / BLOCK_ROWS))).otherwise(0)
+    return F.xxhash64(of, part), part
 
-    def of_large(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
-        found = forest(one, None if pdf["i"].iat[0] == pdf["j"].iat[0] else two)
+
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that hold together every pair of rows whose similarity reaches percent.
+
+    A row's key is its most popular prefix column, so that groups of near copies share one. First each key's rows are
+    multiplied with themselves, in blocks, and the blocks of a large key with its first block: one product for each block,
+    which joins groups of copies however large. Then each two blocks that share a prefix column are multiplied, with just
+    those rows that have one in common and are not yet joined, and whose sizes allow a link.
+    """
+    heads = common.written(prefix_columns(rows, percent), "jaccard-heads")
+    keys = heads.groupBy("node").agg(F.max(F.struct("k", "column")).alias("best")).select("node", F.col("best.column").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    block, part = _blocks(F.col("key"), F.col("size"), F.col("node"))
+    placed = keys.join(sizes, "key").select("node", "key", "size", block.alias("block"), part.alias("part"))
+    rows = rows.select("node", "n", F.transform("cells", lambda c: c["column"]).alias("columns"))
+    placed = common.written(rows.join(placed, "node"), "jaccard-rows")
+    own = placed.where("size > 1").select(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"), "node", "n", "columns")
+    large = placed.where(F.col("size") > BLOCK_ROWS)
+    first = large.where("part = 0").withColumn("other", F.explode(F.sequence(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS) - 1)))
+    first = first.select("block", F.xxhash64("key", F.col("other").cast(large.schema["part"].dataType)).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), "node", "n", "columns")
+    others = large.where("part > 0").select(F.xxhash64("key", F.lit(0).cast(large.schema["part"].dataType)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), "node", "n", "columns")
+    near = common.written(products(own.unionByName(first.withColumnRenamed("block", "i")).unionByName(others), placed.count(), percent), "jaccard-near")
+    found = common.written(components(near, "jaccard-roots"), "jaccard-roots")
+    # Rows of a large key that are joined lie in blocks of their own now.
+    at = placed.select("node", "key", "size", "block").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = at.where(F.col("size") > BLOCK_ROWS).groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
+    at = at.join(joined, ["key", "root"], "left")
+    again, _ = _blocks(F.xxhash64("key", F.when(F.col("own") > BLOCK_ROWS, F.col("root"))), F.coalesce(F.when(F.col("own") > BLOCK_ROWS, F.col("own")), F.lit(0)), F.col("node"))
+    at = common.written(at.select("node", "root", F.when(F.col("own").isNull(), F.col("block")).otherwise(again).alias("block"), F.col("own").isNotNull().alias("moved")), "jaccard-blocks")
+    heads = heads.select("node", "n", "column").join(at, "node")
+    # A column whose rows are all joined asks for no more.
+    open_columns = heads.groupBy("column").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("column")
+    heads = common.written(heads.join(open_columns, "column"), "jaccard-open")
+    met = heads.groupBy("column", F.col("block").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"))
+    fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+    apart = (F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))
+    pairs = heads.join(met, "column").where(fits & apart & ((F.col("block") != F.col("other")) | F.col("moved")))
+    pairs = pairs.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"), "node").distinct()
+    pairs = common.written(pairs, "jaccard-pairs")
+    far = products(pairs.join(placed.select("node", "n", "columns"), "node"), pairs.count(), percent)
+    return far.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def products(rows: DataFrame, count: int, percent: int) -> DataFrame:
+    """(a, b) from (i, j, left, right, node, n, columns): the links of rows of block i (left) with rows of block j (right)."""
+    # Block pairs are small; a task takes many of them.
+    tasks = max(1, rows.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_ROWS))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        for (i, j), own in pdf.groupby(["i", "j"], sort=False):
+            found += _forest(own, None, percent) if i == j else _forest(own[own["left"]], own[own["right"]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return small.groupBy("task").applyInPandas(of_small, "a long, b long").unionByName(large.groupBy("root", "i", "j").applyInPandas(of_large, "a long, b long"))
+    return rows.withColumn("task", F.pmod(F.xxhash64("i", "j"), F.lit(tasks))).groupBy("task").applyInPandas(run, "a long, b long")
 
 
 def _forest(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> list[tuple[int, int]]:
@@ -296,7 +353,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     # Almost all rows are named by the smallest doc_id of their set; the few other names come with the join.
     other = common.written(classes.where("node <> first").select("digest", "n", F.col("node").alias("other")), "jaccard-names")
     cells = packed.where("kind = 1").join(other, ["digest", "n"], "left").select(F.coalesce("other", "doc_id").alias("node"), "n", "column")
-    live = common.written(live_rows(cells, percent), "jaccard-live")
+    hot = packed.where("kind = 2").select("digest", "n", "column").join(classes, ["digest", "n"]).select("node", "n", "column").distinct()
+    live = common.written(live_rows(cells.unionByName(hot), percent), "jaccard-live")
     same_id = own.where("n > 0").join(repeated.where("least < most"), "doc_id").join(classes, ["digest", "n"]).select(F.col("node").alias("a"), "least")
     same_id = same_id.join(classes.select(F.struct("digest", "n").alias("least"), F.col("node").alias("b")), "least").select("a", "b")
     links = common.written(block_links(live, percent).unionByName(same_id), "jaccard-links")
