@@ -21,7 +21,9 @@ whole; further columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import byte_units, in_parts
 
-CHUNK = 128
+CHUNK, FORGETS = 128, 16
 #: States, edges and words that a worker remembers; it forgets all of them beyond that, and finds them again.
 MOST_STATES, MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000, 1_000_000
 #: Words of more bytes are read one by one, the others side by side.
@@ -111,10 +113,20 @@ def starts(read: np.ndarray, step: np.ndarray, mark: np.ndarray) -> np.ndarray:
     stream[:n] = read
     by_place = np.ascontiguousarray(stream.reshape(chunks, CHUNK).T)
     flat, out = step.ravel().astype(np.uint8), mark.ravel()
-    # State maps of all chunks, for all states at once.
-    maps = np.repeat(np.arange(step.shape[0], dtype=np.uint8)[:, None], chunks, axis=1)
-    for c in by_place:
+    # State maps of all chunks, for all states at once; most chunks forget their start within FORGETS characters, and
+    # from then on one state stands for all.
+    every = step.shape[0]
+    maps = np.repeat(np.arange(every, dtype=np.uint8)[:, None], chunks, axis=1)
+    for c in by_place[:FORGETS]:
         maps = flat[maps.astype(np.int16) * width + c]
+    some = np.flatnonzero((maps != maps[0]).any(axis=0))
+    one, several = maps[0], maps[:, some]
+    for c in by_place[FORGETS:]:
+        one = flat[one.astype(np.int16) * width + c]
+        if len(some):
+            several = flat[several.astype(np.int16) * width + c[some]]
+    maps = np.repeat(one[None], every, axis=0)
+    maps[:, some] = several
     # Prefix scan: maps[:, k] becomes the composition of the maps of chunks 0 to k.
     d = 1
     while d < chunks:
@@ -324,38 +336,35 @@ class Merger:
         return total
 
 
-class Counter:
+class Words:
+    """Cuts texts into words and remembers a pair of numbers for each distinct word; learned() makes them."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            tokenizer = json.load(f)
-        self.special = [t["content"] for t in tokenizer["added_tokens"]]
-        self.merger = Merger(tokenizer["model"])
+            self.tokenizer = json.load(f)
+        self.special = [t["content"] for t in self.tokenizer["added_tokens"]]
         self.step, self.mark = cutter()
         self.classes = classes()
+        self.forget()
+
+    def forget(self) -> None:
         self.known = Numbers()
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        pieces, owner, extra = [], [], np.zeros(len(texts), np.int64)
-        if not texts:
-            return extra
-        for i, text in enumerate(texts):
-            own = [text]
-            for s in self.special:
-                if s in text:
-                    own = [x for part in own for x in part.split(s)]
-            extra[i] = len(own) - 1
-            pieces += own
-            owner += [i] * len(own)
-        stream = "\0".join(pieces) + "\0"
+    def learned(self, words: list[bytes]) -> np.ndarray:
+        raise NotImplementedError
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pair of each word of all texts, and the number of words in each text."""
+        if self.known.size > MOST_WORDS:
+            self.forget()
+        stream = "\0".join(texts) + "\0"
         points = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = np.cumsum(lengths + 1) - 1
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         read = self.classes[points]
         read[ends] = STOP
         at = np.flatnonzero(starts(read, self.step, self.mark))
-        stop = np.minimum(np.append(at[1:], len(stream)), ends[np.searchsorted(ends, at)])
-        if self.known.size > MOST_WORDS:
-            self.known = Numbers()
+        text = np.searchsorted(ends, at)
+        stop = np.minimum(np.append(at[1:], len(stream)), ends[text])
         keys = word_keys(points, at, stop)
         slot = self.known.find(keys)
         if (slot < 0).any():
@@ -363,11 +372,84 @@ class Counter:
             new, first = np.unique(keys[missing], return_index=True)
             some = missing[first]
             words = [stream[a:b].encode() for a, b in zip(at[some].tolist(), stop[some].tolist(), strict=True)]
-            self.known.put(new, np.stack([self.merger.counts(words), np.zeros(len(new), np.int64)], axis=1).astype(np.int32))
+            self.known.put(new, self.learned(words).astype(np.int32))
             slot = self.known.find(keys)
-        each = self.known.values[slot, 0]
-        which = np.asarray(owner, np.int64)[np.searchsorted(ends, at)]
-        return extra + np.bincount(which, each, len(texts)).astype(np.int64)
+        return self.known.values[slot], np.bincount(text, minlength=len(texts))
+
+
+class Counter(Words):
+    """Numbers of tokens by the merger's transducer."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.merger = Merger(self.tokenizer["model"])
+
+    def learned(self, words: list[bytes]) -> np.ndarray:
+        return np.stack([self.merger.counts(words), np.zeros(len(words), np.int64)], axis=1)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        pieces, parts = [], np.zeros(len(texts), np.int64)
+        if not texts:
+            return parts
+        for i, text in enumerate(texts):
+            own = [text]
+            for s in self.special:
+                if s in text:
+                    own = [x for part in own for x in part.split(s)]
+            parts[i] = len(own)
+            pieces += own
+        found, words = self.of(pieces)
+        upto = np.concatenate([[0], np.cumsum(found[:, 0], dtype=np.int64)])
+        cuts = np.concatenate([[0], np.cumsum(words)])[np.concatenate([[0], np.cumsum(parts)])]
+        return parts - 1 + np.diff(upto[cuts])
+
+
+class Encoder(Words):
+    """Token ids: each distinct word is merged once by the library's model; texts with special strings are the library's."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+        self.units = byte_units()
+
+    def forget(self) -> None:
+        super().forget()
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def learned(self, words: list[bytes]) -> np.ndarray:
+        merge, units = self.library.model.tokenize, self.units
+        found = [[t.id for t in merge(w.decode("latin-1").translate(units))] for w in words]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        more = int(lengths.sum())
+        while self.used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(found), np.uint32, more)
+        begin = self.used + np.cumsum(lengths) - lengths
+        self.used += more
+        return np.stack([begin, lengths], axis=1)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text."""
+        special = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if special:
+            alone = set(special)
+            rest = [i for i in range(len(texts)) if i not in alone]
+            counts = np.zeros(len(texts), np.int64)
+            ids, counts[rest] = self.encode([texts[i] for i in rest])
+            own = dict(zip(rest, np.split(ids, np.cumsum(counts[rest])[:-1]), strict=False)) if rest else {}
+            own |= {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in special}
+            counts[special] = [len(own[i]) for i in special]
+            return np.concatenate([own[i] for i in range(len(texts))]), counts
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        found, words = self.of(texts)
+        first, lengths = found.T.astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(first - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.ids[at], np.diff(ends[np.concatenate([[0], np.cumsum(words)])])
 
 
 def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
