@@ -40,9 +40,9 @@ BITS = 10
 SYMBOLS = 1 << BITS
 MOST_STATES = 1 << 13
 #: Steps of a lane, characters of a part, and states that are resolved at once.
-LANE, PART, ROWS = 512, 6_000_000, 256
+LANE, PART, ROWS = 512, 12_000_000, 256
 #: Runs of words that a range of hashes gets on average; the number of ranges follows the input.
-PER_RANGE = 3_000_000
+PER_RANGE = 1_500_000
 #: No word: stands for the end of a text; its symbol, and that of all words without one of their own.
 END = b"\n"
 END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64))
