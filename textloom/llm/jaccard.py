@@ -6,8 +6,7 @@
 2. Columns. A range knows every holder of its hashes, so it drops columns that one distinct set alone holds; only
    columns with two holders or more leave it. A column that HOT sets of one part hold is shared for certain: its cells
    spread over all ranges and only a mark goes to its own, so a common line fills no task. Documents with equal sets are
-   one row of the matrix: the set's digest and size tell it, and its smallest doc_id names it (a hash, where that doc_id
-   names another set already).
+   one row of the matrix, which the set's digest and size name.
 3. Bounds. A row links only if 0.8 of its set lies in shared columns; others go, columns are counted again, and so on.
    In the order of rarity, rows that link share a column among their first n - ceil(0.8 n) + 1.
 4. Product. Rows lie in blocks with those that share their most popular prefix column. Each block is multiplied with
@@ -37,13 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import in_parts
+from .tokens import text_parts
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Hashes that a range holds on average (the number of ranges follows the input), and bytes of text that a task packs at once.
-PER_RANGE, PACKED = 1_500_000, 4_000_000
+PER_RANGE, PACKED = 750_000, 4_000_000
 #: Sets of one part that hold a column whose cells need not meet in one range.
 HOT = 16
 #: Rows of the matrix in a block, and hashes of small groups that a task takes together.
@@ -134,9 +133,8 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every_text, every_id = batch["text"].cast(pa.binary()).to_pylist(), batch["doc_id"].to_pylist()
-            for part in in_parts(every_text, PACKED):
-                yield packed_rows(shingle_sets(every_text[part], words), every_id[part])
+            for part, texts in text_parts(batch["text"].cast(pa.binary()), PACKED):
+                yield packed_rows(shingle_sets(texts, words), batch["doc_id"][part].to_pylist())
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if ranges <= key[0].as_py() < 2 * ranges:
@@ -327,21 +325,19 @@ def _forest(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> list[tuple
     return out
 
 
-def named_classes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets: (digest, n, first, node), first being the smallest doc_id that has the set and node its name in the matrix;
-    and the doc_ids that have more than one: (doc_id, least, most, empty), the least and greatest set, and if it has none too.
+def node_of(digest: Column | str = "digest", n: Column | str = "n") -> Column:
+    """A set's name in the matrix: its digest and size in 64 bits, as columns are named too."""
+    return F.xxhash64(digest, n)
 
-    The name is first, or a hash where first stands for several sets (that it is a doc_id too is as unlikely as that two
-    digests are equal).
-    """
+
+def named_classes(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets: (node, first), first being the smallest doc_id that has the set; and the doc_ids that have more than one:
+    (doc_id, least, most, empty), the least and greatest node, and if it has a text without shingles too."""
     ids = own.where("doc_id is not null")
-    sets = common.written(ids.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first")), "jaccard-sets")
-    several = common.written(sets.groupBy("first").count().where("count > 1").select("first", F.lit(True).alias("several")), "jaccard-several")
-    name = F.when(F.col("several"), F.xxhash64("digest", "n")).otherwise(F.col("first"))
-    classes = common.written(sets.join(several, "first", "left").select("digest", "n", "first", name.alias("node")), "jaccard-classes")
-    set_of = F.when(F.col("n") > 0, F.struct("digest", "n"))
-    repeated = ids.groupBy("doc_id").agg(F.min(set_of).alias("least"), F.max(set_of).alias("most"), (F.min("n") == 0).alias("empty"))
-    return classes, common.written(repeated.where("least < most or (empty and least is not null)"), "jaccard-repeated")
+    sets = ids.where("n > 0").groupBy(node_of().alias("node")).agg(F.min("doc_id").alias("first"))
+    node = F.when(F.col("n") > 0, node_of())
+    repeated = ids.groupBy("doc_id").agg(F.min(node).alias("least"), F.max(node).alias("most"), (F.min("n") == 0).alias("empty"))
+    return common.written(sets, "jaccard-classes"), common.written(repeated.where("least < most or (empty and least is not null)"), "jaccard-repeated")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -350,20 +346,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     packed = common.written(shuffled_columns(docs, words), "jaccard-columns")
     own = packed.where("kind = 0").select("doc_id", "digest", "n")
     classes, repeated = named_classes(own)
-    # Almost all rows are named by the smallest doc_id of their set; the few other names come with the join.
-    other = common.written(classes.where("node <> first").select("digest", "n", F.col("node").alias("other")), "jaccard-names")
-    cells = packed.where("kind = 1").join(other, ["digest", "n"], "left").select(F.coalesce("other", "doc_id").alias("node"), "n", "column")
-    hot = packed.where("kind = 2").select("digest", "n", "column").join(classes, ["digest", "n"]).select("node", "n", "column").distinct()
+    cells = packed.where("kind = 1").select(node_of().alias("node"), "n", "column")
+    hot = packed.where("kind = 2").select(node_of().alias("node"), "n", "column").distinct()
     live = common.written(live_rows(cells.unionByName(hot), percent), "jaccard-live")
-    same_id = own.where("n > 0").join(repeated.where("least < most"), "doc_id").join(classes, ["digest", "n"]).select(F.col("node").alias("a"), "least")
-    same_id = same_id.join(classes.select(F.struct("digest", "n").alias("least"), F.col("node").alias("b")), "least").select("a", "b")
+    same_id = own.where("n > 0").select("doc_id", node_of().alias("a")).join(repeated.where("least < most"), "doc_id").select("a", F.col("least").alias("b"))
     links = common.written(block_links(live, percent).unionByName(same_id), "jaccard-links")
     root = components(links, "jaccard-roots")
-    root = common.written(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "first"), "node"), "jaccard-members")
+    root = common.written(root.unionByName(root.select(F.col("root").alias("node"), "root").distinct()).join(classes, "node"), "jaccard-members")
     component = root.join(root.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
     # A text without shingles goes with the other texts of its doc_id.
-    rows = own.join(repeated.where("empty").select("doc_id", "least"), "doc_id", "left").withColumn("set", F.when(F.col("n") > 0, F.struct("digest", "n")).otherwise(F.col("least")))
-    rows = rows.join(classes.select(F.struct("digest", "n").alias("set"), "first", "node"), "set", "left").join(component, "node", "left")
+    rows = own.join(repeated.where("empty").select("doc_id", "least"), "doc_id", "left").withColumn("node", F.when(F.col("n") > 0, node_of()).otherwise(F.col("least")))
+    rows = rows.join(classes.join(component, "node", "left"), "node", "left")
     return rows.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -31,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .tokens import in_parts
+from .tokens import text_parts
 
 ORDER = 4
 #: Bits of a code point; n-grams are two longs, hi and lo, of two symbols each.
@@ -47,6 +48,8 @@ MASK = (1 << BITS) - 1
 SLICE = 2_000_000
 #: Distinct n-grams that a task holds before it passes them on.
 HELD = 1_500_000
+#: Bytes of text that a task reads at once.
+PART = 500_000
 FENCE, PRIOR, FEW = 3.5, 100, 7
 #: The least width of a half band, in powers of ten of perplexity.
 LEAST_SPREAD = 0.01
@@ -196,10 +199,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
-            for part in in_parts(texts):
-                for lang, own in by_language(texts[part], langs[part]):
-                    hi, lo, _, _ = streams([texts[part][i] for i in own])
+            langs = batch["lang"].to_pylist()
+            for part, texts in text_parts(batch["text"], PART):
+                for lang, own in by_language(texts, langs[part]):
+                    hi, lo, _, _ = streams([texts[i] for i in own])
                     key, first, n = np.unique(hashes(lang, hi, lo), return_index=True, return_counts=True)
                     parts = held.setdefault(lang, [])
                     parts.append((key, hi[first], lo[first], n))
@@ -301,7 +304,7 @@ def trained(docs: DataFrame) -> Model:
 
 
 def _pass(docs: DataFrame, model: Model, number: int) -> tuple[DataFrame, object]:
-    """Each row of docs with its base counts, n_solid, and the sum of the log10 probabilities that a slice holds."""
+    """Each row of docs (text or a _row that has it, lang and more) with its base counts, n_solid, and the sum of the log10 probabilities that a slice holds."""
     shared = docs.sparkSession.sparkContext.broadcast(model.arrays(number))
     slices = model.slices
     more = [f for f in docs.schema.fields if f.name not in ("text", "lang")]
@@ -311,9 +314,10 @@ def _pass(docs: DataFrame, model: Model, number: int) -> tuple[DataFrame, object
         if not len(keys):
             keys, scores = np.zeros(1, np.uint64), np.zeros(1, np.float32)
         for batch in batches:
-            every, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
-            for part in in_parts(every):
-                texts = every[part]
+            langs = batch["lang"].to_pylist()
+            # A row that is carried along holds its text, which comes no second time.
+            column = batch["text"] if "text" in batch.schema.names else pc.fill_null(pc.struct_field(batch["_row"], "text"), "")
+            for part, texts in text_parts(column, PART):
                 n_solid, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 for lang, own in by_language(texts, langs[part]):
                     hi, lo, solid, ends = streams([texts[i] for i in own])
@@ -338,14 +342,14 @@ def _pass(docs: DataFrame, model: Model, number: int) -> tuple[DataFrame, object
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Each row of docs (text, lang and more) without its text: base counts, size class, and x, log10 perplexity a letter."""
+    """Each row of docs (text or a _row that has it, lang and more) without its text: base counts, size class, and x, log10 perplexity a letter."""
     if model.slices == 1:
         rows, _ = _pass(docs, model, 0)
     else:
         docs = common.written(docs.withColumn("_rid", F.monotonically_increasing_id()), "quality-docs")
         parts = []
         for number in range(model.slices):
-            found, shared = _pass(docs if not number else docs.select("text", "lang", "_rid"), model, number)
+            found, shared = _pass(docs if not number else docs.drop("doc_id"), model, number)
             parts.append(common.written(found if not number else found.select("_rid", "total"), "quality-pass"))
             shared.destroy()
         rows, sums = parts[0].drop("total"), parts[0].select("_rid", "total")
@@ -407,7 +411,7 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, as they are. Texts are scored twice, which is less than moving them for a join."""
     model = trained(texts_of(docs))
     found = common.written(bands(common.written(scored(texts_of(docs), model), "quality-scored")), "quality-bands")
-    rows = scored(texts_of(docs, F.struct(*(docs[c] for c in docs.columns)).alias("_row")), model)
+    rows = scored(texts_of(docs, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).drop("text"), model)
     return with_verdict(rows, found).where("kept").select("_row.*")
 
 

@@ -15,6 +15,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
@@ -160,3 +162,13 @@ def in_parts(texts: list[str], characters: int = 2_000_000):
             end += 1
         yield slice(at, end)
         at = end
+
+
+def text_parts(texts: pa.Array, size: int = 2_000_000):
+    """Slices of a column of texts of about so many bytes, one text at least, each with its texts: never all as objects."""
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + size, "right")) - 1)
+        yield slice(at, end), texts[at:end].to_pylist()
+        at = end
