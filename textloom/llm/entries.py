@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import common
 from .decontaminate import op6_decontamination
 from .id_files import op2_token_ids
 from .jaccard import op9_ngram_jaccard
@@ -23,5 +24,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Words of the Jaccard join and of decontamination, in DuckDB.
+FOLDED = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')"
+SPACED = rf"list_filter(string_split_regex({FOLDED}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+LETTERED = rf"list_filter(string_split_regex({FOLDED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {SPACED} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
+"""
+LEAKS = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {LETTERED} AS words FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(words), 10) AS size, array_to_string(words[i : i + 9], ' ') AS run FROM (SELECT *, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)),
+d AS (SELECT doc_id, {LETTERED} AS words FROM documents),
+g AS (SELECT doc_id, size, i, array_to_string(words[i : i + size - 1], ' ') AS run FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win))),
+h AS (SELECT g.doc_id, g.i, g.size, win.item FROM g JOIN win ON g.size = win.size AND g.run = win.run),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": LEAKS, "op9_ngram_jaccard": JACCARD}
