@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from textloom.plans import more, queries as plans  # noqa: F401
+from textloom.plans import history, more, queries as plans  # noqa: F401
 
 SF = os.environ.get("TEXTLOOM_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -36,9 +36,9 @@ def test_same_as_sql(spark, duck, name):
     rows = sorted((tuple(plain(r[c]) for c in order) for r in got.collect()), key=str)
     expected = sorted((tuple(plain(dict(zip(columns, r, strict=True))[c]) for c in order) for r in want.fetchall()), key=str)
     assert rows == expected
-    assert rows or name in ("anti_join_stats", "except_ids")
+    assert rows
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_runs(spark, name):
-    assert plans.queries()[name](spark, SF).count() >= 0
+    assert plans.queries()[name](spark, SF).count() > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,21 +33,19 @@ def fold_text(text: str) -> str:
     return text.translate(str.maketrans(UPPER, LOWER))
 
 
+def _unquoted(text: str) -> str | None:
+    """text without a pair of quotes around it, else without a lone one at an end; None where neither stands."""
+    pairs = dict(QUOTES)
+    closed = pairs.get(text[0]) == text[-1] and text[1:-1].strip()
+    opened = text[0] in pairs and pairs[text[0]] not in text[1:] and text[1:].strip()
+    ended = [a for a, b in QUOTES if text[-1] == b and a not in text[:-1]] and text[:-1].strip()
+    return closed or opened or ended or None
+
+
 def keyword(text: str | None) -> str:
-    """A keyword without blanks and quotes around it: pairs first, then a quote on one side that has no other."""
+    """A keyword without blanks and quotes around it."""
     text = (text or "").strip()
-    while text:
-        inner = next((text[1:-1].strip() for a, b in QUOTES if len(text) > 2 and text[0] == a and text[-1] == b and text[1:-1].strip()), None)
-        if inner is None:
-            for a, b in QUOTES:
-                if text[0] == a and text[1:].strip() and (b not in text[1:]):
-                    inner = text[1:].strip()
-                elif text[-1] == b and text[:-1].strip() and (a not in text[:-1]):
-                    inner = text[:-1].strip()
-                if inner:
-                    break
-        if inner is None:
-            return text
+    while text and (inner := _unquoted(text)):
         text = inner
     return text
 
@@ -142,11 +141,73 @@ def is_generic(c: Column) -> Column:
 
 def twin_text(c: Column, male: bool | None) -> Column:
     """Texts for two player forms, {M#..}{F#..} in either order; male None shows both as {male/female}. A leading # goes."""
+    return F.regexp_replace(_twins(c, male), "^#", "")
+
+
+def _twins(c: Column, male: bool | None) -> Column:
     first, second = (r"\{M#(.*?)}\{F#(.*?)}", r"\{F#(.*?)}\{M#(.*?)}")
     to = {True: ("$1", "$2"), False: ("$2", "$1"), None: ("{$1/$2}", "{$2/$1}")}[male]
     to = tuple(t.replace("{", "\\{").replace("}", "\\}") for t in to)
-    c = F.regexp_replace(F.regexp_replace(c, first, to[0]), second, to[1])
-    return F.regexp_replace(c, "^#", "")
+    return F.regexp_replace(F.regexp_replace(c, first, to[0]), second, to[1])
+
+
+def placeholders(c: Column, male: bool | None, wanderer: Column, traveller: Column, little_one: Column, words: Column) -> Column:
+    """A text with its names filled in: both player forms, pronouns by id from words (a map of id to text), and four names."""
+    c = _twins(c, male)
+    pronoun = r"\{(.*?)AVATAR#SEXPRO\[(.*?)\|(.*?)]}"
+    word = lambda token, group: F.coalesce(F.try_element_at(words, F.regexp_extract(token, pronoun, group)), F.lit(""))
+    if male is None:
+        said = lambda t: F.concat(F.lit("{"), word(t, 2), F.lit("/"), word(t, 3), F.lit("}"))
+    else:
+        # The mate is of the other form.
+        said = lambda t: F.when((F.regexp_extract(t, pronoun, 1) == "MATE") == F.lit(male), word(t, 3)).otherwise(word(t, 2))
+    # A text is what stands between its tokens, and the words for them.
+    tokens, between = F.regexp_extract_all(c, F.lit(pronoun), F.lit(0)), F.split(c, pronoun)
+    c = F.array_join(F.zip_with(between, F.transform(tokens, said), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    c = F.replace(c, F.lit("{REALNAME[ID(1)|HOSTONLY(true)]}"), wanderer)
+    for token in ("#{REALNAME[ID(2)|SHOWHOST(true)]}", "{REALNAME[ID(2)|SHOWHOST(true)]}", "{REALNAME[ID(2)|HOSTONLY(true)]}"):
+        c = F.replace(c, F.lit(token), little_one)
+    return F.regexp_replace(F.replace(c, F.lit("{NICKNAME}"), traveller), "^#", "")
+
+
+def index_terms(c: Column, words: bool) -> Column:
+    """What a full-text index holds of a text: its words, or for a script without spaces its pairs of characters and itself."""
+    if words:
+        return F.array_distinct(F.filter(F.split(fold(c), r"\s+"), lambda x: x != ""))
+    whole = compact(c)
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(grams(whole, 2), F.array(whole))))
+
+
+def query_terms(text: str, words: bool, stop: tuple[str, ...] = (), least: int = 1, most: int = 64) -> list[str]:
+    """What a keyword asks an index for; the whole keyword is no term of its own where it has parts. Stop words, and terms
+    shorter or longer than allowed, are left out."""
+    text = keyword(text)
+    if words:
+        parts = fold_text(text).split()
+    else:
+        whole = "".join(text.split())
+        parts = [whole[i : i + 2] for i in range(len(whole) - 1)] or [whole]
+    return [p for p in dict.fromkeys(parts) if least <= len(p) <= most and p.lower() not in stop]
+
+
+def language_aliases(lang: str | None) -> list[str]:
+    """Names that a language goes by: as given, in capitals, its short name, and the files named after it."""
+    text = (lang or "").strip()
+    if not text:
+        return []
+    found = re.fullmatch(r"Text(?:Map)?([A-Za-z0-9_]+)\.json", text, re.IGNORECASE)
+    short = [found[1], found[1].upper()] if found else []
+    stem = short[-1] if found else text.upper() if re.fullmatch("[A-Za-z]{2,4}", text) else None
+    files = [f"TextMap{stem}.json", f"Text{stem}.json"] if stem else []
+    return list(dict.fromkeys([text, text.upper(), *short, *files]))
+
+
+def int_keyword(text: str | None) -> int | None:
+    """A keyword that is a whole number, plain or hexadecimal."""
+    text = (text or "").strip()
+    if re.fullmatch(r"[+-]?[0-9]+", text):
+        return int(text)
+    return int(text, 16) if re.fullmatch(r"[+-]?0[xX][0-9a-fA-F]+", text) else None
 
 
 def anchors(c: Column, size: int = 4) -> Column:

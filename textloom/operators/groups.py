@@ -38,6 +38,22 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def latest_of_tag(df: DataFrame, time: str, key: str, tag: str) -> DataFrame:
+    """A history's last row of each tag, where rows without one carry the tag before them.
+
+    A day is a task's; the last tag of each day, a row a day, tells what the days after it begin with.
+    """
+    df = df.withColumn("_day", F.to_date(time))
+    days = df.groupBy("_day").agg(F.max_by(tag, F.when(F.col(tag).isNotNull(), F.struct(time, key))).alias("_last"))
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    own = F.last(tag, ignorenulls=True).over(Window.partitionBy("_day").orderBy(time, key).rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn(tag, own).join(days, "_day").withColumn(tag, F.coalesce(tag, "_carried")).where(F.col(tag).isNotNull()).drop("_day", "_carried")
+    others = [c for c in rows.columns if c != tag]
+    best = rows.groupBy(tag).agg(F.max_by(F.struct(*others), F.struct(time, key)).alias("_best"))
+    return best.select(tag, "_best.*")
+
+
 def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a without those of b, each taking away one."""
     return a.exceptAll(b)

@@ -44,10 +44,10 @@ def hidden_without_body(c: Catalog) -> DataFrame:
     return c.table("customer").where(hidden).join(bodies, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("SELECT doc_id, lang || '_' || x AS file FROM documents, (VALUES ('EN'), ('FR'), ('')) t(x) WHERE doc_id % 20 = 0")
+@query("SELECT doc_id, lang || '_' || x AS file FROM documents, (VALUES ('EN'), ('FR'), ('')) t(x)")
 def sibling_files(c: Catalog) -> DataFrame:
     suffixes = F.explode(F.array(*map(F.lit, ("EN", "FR", ""))))
-    return c.table("documents").where("doc_id % 20 = 0").select("doc_id", "lang", suffixes.alias("x")).select("doc_id", F.concat_ws("_", "lang", "x").alias("file"))
+    return c.table("documents").select("doc_id", "lang", suffixes.alias("x")).select("doc_id", F.concat_ws("_", "lang", "x").alias("file"))
 
 
 @query(f"WITH {TEXT_MAP} SELECT 'text' AS kind, count(*) AS n FROM text_map WHERE content LIKE '%the%' UNION ALL SELECT 'page', count(*) FROM pages WHERE html LIKE '%the%' UNION ALL SELECT 'line', count(*) FROM conversations WHERE text LIKE '%the%'")
@@ -142,11 +142,11 @@ def autofill(c: Catalog) -> DataFrame:
     return c.table("orders").select("o_orderkey", F.coalesce(F.nullif("o_orderstatus", F.lit("P")), "o_orderpriority").alias("updated"))
 
 
-@query("SELECT quest, lang, 9 AS version FROM (SELECT DISTINCT l_orderkey AS quest FROM lineitem WHERE l_partkey % 40 = 7), (SELECT DISTINCT lang FROM documents)")
+@query("SELECT quest, lang, 9 AS version FROM (SELECT DISTINCT l_orderkey AS quest FROM lineitem WHERE l_returnflag = 'R'), (SELECT DISTINCT lang FROM documents)")
 def version_delta(c: Catalog) -> DataFrame:
-    quests = c.table("lineitem").where("l_partkey % 40 = 7").select(F.col("l_orderkey").alias("quest")).distinct()
-    langs = sorted(r["lang"] for r in c.table("documents").select("lang").distinct().collect())  # the corpus' few languages
-    return quests.withColumn("lang", F.explode(F.array(*map(F.lit, langs)))).withColumn("version", F.lit(9))
+    quests = c.table("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("quest")).distinct()
+    langs = c.table("documents").agg(F.collect_set("lang")).scalar()  # the corpus' few languages
+    return quests.withColumn("lang", F.explode(langs)).withColumn("version", F.lit(9))
 
 
 @query("SELECT kind, count(*) AS n, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'texts' WHEN o_orderpriority LIKE '2%' THEN 'quests' ELSE 'rest' END AS kind, o_orderstatus AS status FROM orders) GROUP BY kind")
