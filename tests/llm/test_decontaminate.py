@@ -49,3 +49,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[2].n_words == by[3].n_words == by[4].n_words == 0
     assert decontaminate(no_docs, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate(odd_docs, bench.limit(0)).collect())
+
+
+def test_windows_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, op6_decontamination(spark, sf_dir).collect()))
+    monkeypatch.setattr("textloom.llm.decontaminate.BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, op6_decontamination(spark, sf_dir).collect())) == want

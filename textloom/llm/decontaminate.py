@@ -6,11 +6,12 @@ of documents are joined with those prefix words alone; length and position bound
 window, and what is left is verified word by word against the document. Scan, words, join and verification are one
 generated stage: nothing but true hits is shuffled.
 
-The windows are broadcast while they number BROADCAST_WINDOWS at most, a bound that is checked first; beyond it the same
-join is left to Spark, which shuffles it.
+The windows are broadcast while they take BROADCAST_BYTES at most, a bound that is checked first; beyond it places and
+words of documents are shuffled to the prefix words, and only what fits a window's place meets its text again.
 
-Defined results: null texts have no words; rows that repeat are reported each; an empty benchmark or empty documents
-leave nothing contaminated; further columns are ignored.
+Defined results: null and empty texts have no words; very long texts are whole; rows that repeat, with or without a doc_id,
+are reported each; items with equal windows are all found; an empty benchmark or empty documents leave nothing
+contaminated; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql.window import Window
 from . import common
 
 WINDOW = 10
-#: About 100 MB at 200 bytes a window.
-BROADCAST_WINDOWS = 500_000
+#: Bytes of windows and of their item ids, and so many more for each window, that are broadcast at most.
+BROADCAST_BYTES, WINDOW_BYTES = 64_000_000, 64
 #: What parts words, after A-Z are lower case.
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Not a word: stands after the last word of each document, so that each document is found once at least.
@@ -53,7 +54,9 @@ def counts_in(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
 def prefixes(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, bool]:
     """(word, skip, words, items): each window under its rarest word, skip words in; and whether they are few enough to broadcast."""
     wins = common.written(windows(benchmark, size), "leak-windows")
-    small = wins.count() <= BROADCAST_WINDOWS
+    length = lambda name: F.octet_length(F.array_join(name, " ")) + 8 * F.size(name)
+    size_of = wins.agg(F.coalesce(F.sum(length("words") + length("items") + WINDOW_BYTES), F.lit(0))).first()[0]
+    small = size_of <= BROADCAST_BYTES
     places = wins.select("words", "items", F.posexplode("words").alias("skip", "word"))
     counts = counts_in(docs, places.select("word").distinct(), small)
     rare = places.join(counts, "word", "left").groupBy("words").agg(
@@ -74,7 +77,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     n = F.size("all")
     long = F.size("words")
     fits = (F.col("at") >= F.col("skip")) & (F.col("at") - F.col("skip") + long <= n)
-    found = words.join(F.broadcast(rare) if small else rare, "word").where(fits & (F.slice("all", F.when(fits, F.col("at") - F.col("skip") + 1).otherwise(1), long) == F.col("words")))
+    if small:
+        met = words.join(F.broadcast(rare), "word")
+    else:
+        texts = common.written(texts, "leak-texts")  # numbered once
+        places = texts.select("rid", n.alias("n"), F.posexplode("all").alias("at", "word")).join(rare, "word")
+        places = places.where((F.col("at") >= F.col("skip")) & (F.col("at") - F.col("skip") + long <= F.col("n"))).drop("n")
+        met = places.join(texts, "rid")
+    found = met.where(fits & (F.slice("all", F.when(fits, F.col("at") - F.col("skip") + 1).otherwise(1), long) == F.col("words")))
     first, last = F.element_at("all", 1) == "", (n > 2) & (F.element_at("all", F.when(n > 2, n - 1).otherwise(1)) == "")
     return found.select(
         "rid",
