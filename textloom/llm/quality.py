@@ -47,7 +47,7 @@ MASK = (1 << BITS) - 1
 #: N-grams of a slice of the model: 12 bytes each in the driver and in each worker, one slice at a time.
 SLICE = 2_000_000
 #: Distinct n-grams that a task holds before it passes them on.
-HELD = 1_500_000
+HELD = 700_000
 #: Bytes of text that a task reads at once.
 PART = 500_000
 FENCE, PRIOR, FEW = 3.5, 100, 7
@@ -298,6 +298,26 @@ def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
 
+class Lookup:
+    """Sorted hashes with the place of each range of leading bits, about one hash in a range: few steps find a key."""
+
+    def __init__(self, keys: np.ndarray, scores: np.ndarray, slices: int):
+        bits = max(8, (len(keys) * slices).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # The last hash stands for the end; no n-gram has it but by chance.
+        self.keys, self.scores = np.append(keys, np.uint64((1 << 64) - 1)), np.append(scores, np.float32(0))
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The score of each hash, 0 for one that is not there."""
+        at = self.first[(wanted >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.keys[at] < wanted)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < wanted[todo]]
+        return np.where(self.keys[at] == wanted, self.scores[at], np.float32(0))
+
+
 def trained(docs: DataFrame) -> Model:
     """The model of docs (text without nulls, lang)."""
     return Model(kneser_ney(common.written(gram_counts(docs), "quality-grams")))
@@ -310,9 +330,7 @@ def _pass(docs: DataFrame, model: Model, number: int) -> tuple[DataFrame, object
     more = [f for f in docs.schema.fields if f.name not in ("text", "lang")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, scores = shared.value
-        if not len(keys):
-            keys, scores = np.zeros(1, np.uint64), np.zeros(1, np.float32)
+        lookup = Lookup(*shared.value, slices)
         for batch in batches:
             langs = batch["lang"].to_pylist()
             # A row that is carried along holds its text, which comes no second time.
@@ -321,13 +339,7 @@ def _pass(docs: DataFrame, model: Model, number: int) -> tuple[DataFrame, object
                 n_solid, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 for lang, own in by_language(texts, langs[part]):
                     hi, lo, solid, ends = streams([texts[i] for i in own])
-                    key = hashes(lang, hi, lo)
-                    if slices > 1:
-                        mine = slice_of(key, slices) == number
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    score = np.where(keys[at] == key, scores[at], np.float32(0)).astype(np.float64)
-                    if slices > 1:
-                        score *= mine
+                    score = lookup.of(hashes(lang, hi, lo)).astype(np.float64)
                     cuts = np.concatenate([[0], ends])
                     n_solid[own] = _by_text(solid, cuts)
                     upto = np.concatenate([[0], np.cumsum(score)])
