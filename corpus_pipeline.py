@@ -2,13 +2,15 @@
 
 1. Quality rules: documents that they reject go.
 2. N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays. Rows that repeat a
-   doc_id are one document; without a doc_id a document links with nothing and stays.
+   doc_id are linked by it, so one of them stays; without a doc_id a document links with nothing and stays.
 3. Benchmark decontamination: documents with a window of a benchmark item go.
 4. Personal data: every span found is replaced by its kind in brackets, and n_chars follows.
 5. Packing: the pieces of what is left, in sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Nulls: a null
-text is rejected by the first stage; later stages take it as empty.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, whatever they
+are named. A null or empty text is rejected by the first stage; later stages take a null as empty. Very long texts are
+whole in every stage. Of rows that are linked and tie in doc_id the one with the first text stays. An empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The verdict depends on the text alone, so rows that share a key share it.
-    key = F.xxhash64("doc_id", "text")
+    # The verdict depends on the text alone, so rows that share a key of 128 bits share it.
+    key = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = decontaminate.decontaminate(docs.select(key.alias("doc_id"), "text"), bench).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    leaked = decontaminate.leaked(docs.select(key.alias("key"), "text"), bench, "key").select(F.col("key").alias("_key"))
     rows = docs.select(key.alias("_key"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
     return rows.join(leaked, "_key", "left_anti").select("_row.*")
 

@@ -1,12 +1,12 @@
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 
 from textloom.llm import lm_score
-from textloom.llm.lm_score import BITS, SYMBOLS, automaton, op8_lm_scoring, score, traverse, with_edges
+from textloom.llm.lm_score import op8_lm_scoring, score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,50 +48,6 @@ def test_whole_table(spark, sf_dir):
     assert all(r.score < 0 for r in rows)
 
 
-def written_out(texts, model, order):
-    """log10 probability of each run of symbols by following failure arcs, one symbol at a time."""
-    arcs = [defaultdict(dict) for _ in range(order)]
-    for k in range(order):
-        for a, n in zip(model.arcs[k].tolist(), model.counts[k].tolist(), strict=True):
-            arcs[k][a >> BITS][a & (SYMBOLS - 1)] = n
-    cuts = []
-    for k in range(order):
-        t = Counter(model.counts[k].tolist())
-        cuts.append(min(max(t[1] / max(1, t[1] + 2 * t[2]), 0.1), 0.9))
-
-    def p(context, symbol):
-        k = len(context)
-        below = p(context[1:], symbol) if k else 1 / SYMBOLS
-        own = arcs[k].get(sum(s << BITS * (k - 1 - i) for i, s in enumerate(context)))
-        if not own:
-            return below
-        return (max(own.get(symbol, 0) - cuts[k], 0) + cuts[k] * len(own) * below) / sum(own.values())
-
-    out = []
-    for text in texts:
-        read = [0] * (order - 1) + text
-        out.append(sum(math.log10(p(tuple(read[i - order + 1 : i]), read[i])) for i in range(order - 1, len(read))))
-    return out
-
-
-def test_one_traversal_is_the_model(spark):
-    rng = np.random.default_rng(5)
-    texts = [[*(rng.zipf(1.5, rng.integers(1, 1500)) % 40 + 1).tolist(), 0] for _ in range(12)]
-    runs = Counter()
-    for t in texts[:8]:
-        read = [0, 0, *t]
-        runs.update(read[i] << 2 * BITS | read[i + 1] << BITS | read[i + 2] for i in range(len(t)))
-    model = automaton(spark.createDataFrame(list(runs.items()), "gram long, n long"), 3, 60)
-    assert 20 < sum(map(len, model.contexts)) <= 60 and len(model.contexts[2]) > 5
-    goto, weight = model.resolved()
-    assert np.allclose((10.0 ** weight.reshape(-1, SYMBOLS)).sum(axis=1), 1, atol=1e-5)
-    lengths = np.array([len(t) for t in texts])
-    read, starts = with_edges(np.concatenate(texts), lengths, 2)
-    got = traverse(read, goto, weight, 2)
-    got[starts[:-1]] = got[starts[:-1] + 1] = 0
-    assert np.allclose(np.add.reduceat(got, starts[:-1]), written_out(texts, model, 3), rtol=1e-4)
-
-
 def test_odd_rows(spark, odd_docs, no_docs):
     docs = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
     rows = score(odd_docs).collect()

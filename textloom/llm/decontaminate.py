@@ -67,13 +67,13 @@ def prefixes(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple
     return common.written(rare, "leak-prefixes"), small
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(rid, doc_id, n_words, start, stop, items): true occurrences, in words; and one row without for each document."""
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id") -> DataFrame:
+    """(rid, key, n_words, start, stop, items): true occurrences, in words; and one row without for each document."""
     rare, small = prefixes(docs, benchmark, size)
     end = docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(0).alias("skip"), F.array(F.lit(END)).alias("words"), F.array().cast("array<string>").alias("items"))
     rare = rare.unionByName(end)
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.concat(word_list(F.col("text")), F.array(F.lit(END))).alias("all"))
-    words = texts.select("rid", "doc_id", "all", F.posexplode("all").alias("at", "word"))
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key), F.concat(word_list(F.col("text")), F.array(F.lit(END))).alias("all"))
+    words = texts.select("rid", key, "all", F.posexplode("all").alias("at", "word"))
     n = F.size("all")
     long = F.size("words")
     fits = (F.col("at") >= F.col("skip")) & (F.col("at") - F.col("skip") + long <= n)
@@ -88,7 +88,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     first, last = F.element_at("all", 1) == "", (n > 2) & (F.element_at("all", F.when(n > 2, n - 1).otherwise(1)) == "")
     return found.select(
         "rid",
-        "doc_id",
+        key,
         (n - 1 - first.cast("int") - last.cast("int")).cast("long").alias("n_words"),
         F.when(F.col("word") != END, F.col("at") - F.col("skip")).alias("start"),
         F.when(F.col("word") != END, F.col("at") - F.col("skip") + long).alias("stop"),
@@ -98,7 +98,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """A row of docs each: doc_id, n_words, n_hit (words inside any window), items, contaminated."""
-    found = hits(docs, benchmark, size)
+    found = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, size)
     before = Window.partitionBy("rid").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
     return (
@@ -114,6 +114,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     )
 
 
+def leaked(docs: DataFrame, benchmark: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
+    """The distinct keys (a column of docs beside text) of documents in which a window occurs."""
+    return hits(docs, benchmark, size, key).where("start is not null").select(key).distinct()
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select(

@@ -10,8 +10,9 @@ in the middle or share a block's steps among readers. CRC-32 sums guard the payl
 A file is a parquet table whose rows are blocks, so that Spark's own committer writes it anywhere; the column ``payload``
 is the binary format: header, lane states, checkpoints, and 32-bit words.
 
-Defined results: a null text has the end id only; rows that repeat a doc_id (or have none: they come first) follow one
-another in the order of their ids; an empty table makes an empty file.
+Defined results: a null or empty text has the end id only; very long texts are whole and one block's; rows that repeat a
+doc_id (or have none: they come first) follow one another in the order of their ids; an empty table makes an empty file;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,6 +171,8 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
 
 def write_ids(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", end_id: int = 2, vocabulary: int = 49_408) -> None:
     """Write the ids of all docs under path: ``blocks`` and ``table``."""
+    if vocabulary > 1 << 16:
+        raise ValueError("ids are packed into 16 bits")
     spark = docs.sparkSession
     encoded = common.written(encode_texts(docs, name, end_id, vocabulary), "ids")
     freq = Table.scaled(id_counts(encoded, vocabulary))

@@ -15,14 +15,11 @@
 
 Defined results: a null or empty text is the end alone; a null doc_id is not held out; repeated rows are reported each;
 very long texts are whole; without training texts an unknown word is the only event; further columns are ignored.
-
-Automaton, automaton() and traverse() are a small automaton over symbols that fits in memory; score() does not use them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,117 +33,18 @@ from . import common
 from .tokens import in_parts
 
 ORDER = 3
-BITS = 10
-SYMBOLS = 1 << BITS
-MOST_STATES = 1 << 13
-#: Steps of a lane, characters of a part, and states that are resolved at once.
-LANE, PART, ROWS = 512, 12_000_000, 256
+#: Bytes of text of a part.
+PART = 12_000_000
 #: Runs of words that a range of hashes gets on average; the number of ranges follows the input.
 PER_RANGE = 1_500_000
-#: No word: stands for the end of a text; its symbol, and that of all words without one of their own.
+#: No word: stands for the end of a text.
 END = b"\n"
 END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64))
 #: Stands before a text; no hash of a word but by chance.
 BEGIN = np.uint64(0x6A09E667F3BCC909)
-EDGE = 0
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-@dataclass
-class Automaton:
-    """Contexts of each length from 0 (sorted, packed), and by length the arcs: context and symbol packed, and its count."""
-
-    contexts: list[np.ndarray]
-    arcs: list[np.ndarray]
-    counts: list[np.ndarray]
-
-    def resolved(self) -> tuple[np.ndarray, np.ndarray]:
-        """Next state and log10 weight by state and symbol, failure arcs followed; the states of each length in a row."""
-        first = np.cumsum([0, *map(len, self.contexts)])
-        goto = np.zeros((first[-1], SYMBOLS), np.int32)
-        weight = np.zeros((first[-1], SYMBOLS), np.float32)
-        for k, own in enumerate(self.contexts):
-            ones, twos = (self.counts[k] == 1).sum(), (self.counts[k] == 2).sum()
-            cut = min(max(ones / max(1, ones + 2 * twos), 0.1), 0.9)
-            for at in range(0, len(own), ROWS):
-                self._resolve(k, own[at : at + ROWS], slice(first[k] + at, first[k] + min(at + ROWS, len(own))), first, cut, goto, weight)
-        return goto.ravel(), weight.ravel()
-
-    def _resolve(self, k: int, own: np.ndarray, at: slice, first: np.ndarray, cut: float, goto: np.ndarray, weight: np.ndarray) -> None:
-        """Some contexts of length k; those that are shorter are done."""
-        if k:
-            fail = first[k - 1] + np.searchsorted(self.contexts[k - 1], own & ((1 << BITS * (k - 1)) - 1))
-            below, after = 10.0 ** weight[fail].astype(np.float64), goto[fail]
-        else:
-            below, after = np.full((len(own), SYMBOLS), 1 / SYMBOLS), np.zeros((len(own), SYMBOLS), np.int32)
-        low, high = np.searchsorted(self.arcs[k], [own[0] << BITS, (own[-1] + 1) << BITS])
-        arcs = self.arcs[k][low:high]
-        n = np.zeros((len(own), SYMBOLS))
-        n[np.searchsorted(own, arcs >> BITS), arcs & (SYMBOLS - 1)] = self.counts[k][low:high]
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        with np.errstate(invalid="ignore"):
-            p = np.where(total > 0, (np.maximum(n - cut, 0) + cut * kinds * below) / total, below)
-        weight[at] = np.log10(p)
-        # The context that follows, where it is a state; else where the failure arc leads.
-        to = min(k + 1, len(self.contexts) - 1)
-        new = (own[:, None] << BITS | np.arange(SYMBOLS)) & ((1 << BITS * to) - 1)
-        place = np.minimum(np.searchsorted(self.contexts[to], new), max(0, len(self.contexts[to]) - 1))
-        held = self.contexts[to][place] == new if len(self.contexts[to]) else np.zeros(new.shape, bool)
-        goto[at] = np.where(held, first[to] + place, after)
-
-
-def traverse(read: np.ndarray, goto: np.ndarray, weight: np.ndarray, before: int) -> np.ndarray:
-    """The weight of each symbol of a stream; before: how many symbols tell the state."""
-    n = len(read)
-    lanes = max(1, -(-n // LANE))
-    padded = np.full(before + lanes * LANE, EDGE, np.int32)
-    padded[before : before + n] = read
-    begin = np.arange(lanes) * LANE
-    state = np.zeros(lanes, np.int32)
-    for i in range(before):
-        state = goto[(state << BITS) | padded[begin + i]]
-    steps = np.ascontiguousarray(padded[before:].reshape(lanes, LANE).T)
-    out = np.empty((LANE, lanes), np.float32)
-    for t, symbols in enumerate(steps):
-        arc = (state << BITS) | symbols
-        np.take(weight, arc, out=out[t])
-        state = goto[arc]
-    return out.T.ravel()[:n]
-
-
-def with_edges(symbols: np.ndarray, lengths: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts, so many edges before each; where each begins, and the end of all."""
-    starts = np.concatenate([[0], np.cumsum(lengths + before)])
-    out = np.full(int(starts[-1]), EDGE, np.int32)
-    out[np.arange(len(symbols)) + np.repeat(starts[:-1] + before - (np.cumsum(lengths) - lengths), lengths)] = symbols
-    return out, starts
-
-
-def automaton(runs: DataFrame, order: int = ORDER, most: int = MOST_STATES) -> Automaton:
-    """From (gram, n) of runs of order symbols."""
-    each = runs.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << BITS * (k + 1)) - 1).alias("arc")) for k in range(order)))).alias("x"))
-    arcs = common.written(each.groupBy("x.k", "x.arc").agg(F.sum("n").alias("n")), "lm-arcs")
-    contexts = arcs.groupBy("k", F.shiftright("arc", BITS).alias("context")).agg(F.sum("n").alias("total"))
-    sizes = contexts.groupBy(F.floor(F.log2("total") * 8).alias("size")).count().orderBy(F.desc("size")).collect()  # eight rows for each power of two
-    least, states = 0, 0
-    for row in sizes:
-        states += row["count"]
-        if states > most:
-            least = row["size"] + 1
-            break
-    often = contexts.where((F.floor(F.log2("total") * 8) >= least) | (F.col("k") == 0)).select("k", "context")
-    found = arcs.withColumn("context", F.shiftright("arc", BITS)).join(often, ["k", "context"], "left_semi").select("k", "arc", "n").toArrow()
-    k, arc, n = (found[c].to_numpy() for c in ("k", "arc", "n"))
-    out = Automaton([], [], [])
-    for i in range(order):
-        mine = np.flatnonzero(k == i)
-        mine = mine[np.argsort(arc[mine])]
-        out.arcs.append(arc[mine])
-        out.counts.append(n[mine])
-        out.contexts.append(np.unique(arc[mine] >> BITS) if i else np.zeros(1, np.int64))
-    return out
-
-
 def squeezed(places: np.ndarray) -> bytes:
     """Small numbers, their low bytes together, their next bytes together and so on, and compressed."""
     planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
