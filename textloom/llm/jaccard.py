@@ -7,7 +7,7 @@
    columns with two holders or more leave it. A column that HOT sets of one part hold is shared for certain: its cells
    spread over all ranges and only a mark goes to its own, so a common line fills no task. Documents with equal sets are
    one row of the matrix, which the set's digest and size name.
-3. Bounds. A row links only if 0.8 of its set lies in shared columns; others go, columns are counted again, and so on.
+3. Bounds. A row links only if 0.8 of its set lies in shared columns; others go, and columns are counted again.
    In the order of rarity, rows that link share a column among their first n - ceil(0.8 n) + 1.
 4. Product. Rows lie in blocks with those that share their most popular prefix column. Each block is multiplied with
    itself, and those of a large group with the group's first one, which is linear in its size and joins copies. Then
@@ -75,9 +75,9 @@ def _digest(hashes: np.ndarray) -> int:
 
 
 def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, digest, n) of each row of docs; kind 1: (doc_id, digest, n, column) of each shared column's holders.
+    """kind 0: (doc_id, digest, n) of each row of docs; kind 1: (digest, n, column) of each shared column's holders.
 
-    kind 2: the same of columns that HOT sets of some part hold, perhaps repeated and with another doc_id of the set.
+    kind 2: the same of columns that HOT sets of some part hold, perhaps repeated.
     """
     spark = docs.sparkSession
     # About one shingle for each six bytes of text; the bytes are known without reading what they say.
@@ -171,13 +171,13 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         return cells(np.where(hot[keep], 2, 1).astype(np.int32), meta[:, head[row[keep]]], hashes[keep])
 
     def cells(kind: np.ndarray, meta: np.ndarray, hashes: np.ndarray) -> pa.Table:
-        return pa.table({"kind": kind, "doc_id": meta[0], "digest": meta[1], "n": meta[2], "column": hashes.view(np.int64)})
+        return pa.table({"kind": kind, "doc_id": np.zeros(len(kind), np.int64), "digest": meta[1], "n": meta[2], "column": hashes.view(np.int64)})
 
     packed = docs.mapInArrow(pack, "range long, meta binary, held binary, hashes binary")
     return packed.groupBy("range").applyInArrow(count, "kind int, doc_id long, digest long, n long, column long")
 
 
-def live_rows(cells: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def live_rows(cells: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
     """(node, n, cells): rows with enough of their set in shared columns; cells: (df, column) in the order of rarity."""
     shared = cells
     for _ in range(rounds):
