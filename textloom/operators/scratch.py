@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the warehouse where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder named in spark.checkpoint.dir. Without one the warehouse will do, but on a cluster only if it was set:
+    by default it is a folder of the driver's own machine."""
+    own = spark.sparkContext.getConf()
+    found = own.get("spark.checkpoint.dir") or own.get("spark.sql.warehouse.dir")
+    if not found and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        found = spark.conf.get("spark.sql.warehouse.dir")
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
