@@ -113,3 +113,15 @@ def test_op2_odd_rows(spark, odd_docs, no_docs, library, tmp_path):
     assert got == expected([(r.doc_id, r.text) for r in odd_docs.collect()], library["word_bpe_49k.json"])
     write_ids(no_docs, f"file://{tmp_path}/none")
     assert read_ids(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_other_white_space_beside_line_ends():
+    """Tabs and no-break spaces after a line end join it, so such a text is not cut there."""
+    from textloom.llm.tokens import SegmentEncoder
+
+    texts = ["a\n\t\tb", "x\n\xa0\t'1", "one \ttwo\r\nthree", "plain words\nand lines"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        coder = SegmentEncoder(name)
+        ids, lengths = coder.encode(texts)
+        want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))

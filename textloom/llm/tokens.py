@@ -138,7 +138,8 @@ def plain(text: str) -> bool:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return False
-    return "\0" not in text and "<|" not in text and len(text.split()) == text.count(" ") + text.count("\n") + 1
+    words, blanks = text.split(), text.count(" ") + text.count("\n")
+    return "\0" not in text and "<|" not in text and len(words) == blanks + 1 and sum(map(len, words)) + blanks == len(text)
 
 
 def byte_units() -> dict[int, str]:
