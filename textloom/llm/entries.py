@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .bpe_tree import op11_byte_bpe
 from .decontaminate import op6_decontamination
 from .id_files import op2_token_ids
 from .jaccard import op9_ngram_jaccard
@@ -20,7 +21,7 @@ from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op7_packing, op8_lm_scoring, op9_ngram_jaccard, op10_sharding)
+    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op7_packing, op8_lm_scoring, op9_ngram_jaccard, op10_sharding, op11_byte_bpe)
     return {f.__name__: f for f in found}
 
 
