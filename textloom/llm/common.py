@@ -84,3 +84,20 @@ def running_total(df: DataFrame, keys: list[str], by: str, weight: Column, bucke
         .withColumn(name, (F.col("_before") + F.col("_at")).cast("long"))
         .drop("_bucket", "_w", "_at", "_before")
     )
+
+
+def joined_by_share(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of keyed (a row for each key, null a key as well, with the count of its rows).
+
+    Keys that hold a thousandth of all rows or more are a thousand at most, so they are broadcast; the rest is shuffled,
+    where no key is more than a thousandth.
+    """
+    hot = F.col(count) * 1000 >= total
+    many, few = (F.broadcast(keyed.where(hot)), keyed.where(~hot))
+    named = lambda d: d.withColumnRenamed(key, "_key").withColumn("_held", F.lit(True))
+    found = rows.join(named(many), F.col(key).eqNullSafe(F.col("_key")), "left")
+    added = [c for c in keyed.columns if c != key]
+    rest = found.where("_held is null").select(*rows.columns)
+    # Rows of the broadcast keys are told by _held; all others find theirs by a shuffle.
+    rest = rest.join(named(few), F.col(key).eqNullSafe(F.col("_key")), "inner")
+    return found.where("_held").select(*rows.columns, *added).unionByName(rest.select(*rows.columns, *added))

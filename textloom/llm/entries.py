@@ -18,10 +18,11 @@ from .quality import op4_quality_rules
 from .sharding import op10_sharding
 from .token_count import op1_token_counts
 from .toxicity import op3_toxicity
+from .vector_codes import op12_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op7_packing, op8_lm_scoring, op9_ngram_jaccard, op10_sharding, op11_byte_bpe)
+    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op7_packing, op8_lm_scoring, op9_ngram_jaccard, op10_sharding, op11_byte_bpe, op12_vector_codes)
     return {f.__name__: f for f in found}
 
 
@@ -53,5 +54,30 @@ FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
 
+def _round(before: str, after: str) -> str:
+    """SQL of codes by the codebooks before, and of the codebooks after: the floored means of their parts."""
+    far = " + ".join(f"(x[{i}] - y[{i}]) * (x[{i}] - y[{i}])" for i in range(1, 5))
+    mean = ", ".join(f"((s{i} - ((s{i} % n) + n) % n) // n)::BIGINT" for i in range(1, 5))
+    sums = ", ".join(f"sum(x[{i}]) AS s{i}" for i in range(1, 5))
+    return (
+        f"{after}_near AS (SELECT rn, part, any_value(x) AS x, min(({far}) * 64 + e) AS m FROM cut JOIN {before} USING (part) GROUP BY rn, part), "
+        f"{after}_sums AS (SELECT part, m % 64 AS e, count(*) AS n, {sums} FROM {after}_near GROUP BY 1, 2), "
+        f"{after} AS (SELECT b.part, b.e, CASE WHEN n IS NULL THEN y ELSE [{mean}] END AS y FROM {before} b LEFT JOIN {after}_sums s ON s.part = b.part AND s.e = b.e)"
+    )
+
+
+#: Product quantisation of vectors of 64 components, in DuckDB.
+CODES = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rn, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT rn, part, v[4 * part + 1 : 4 * part + 4] AS x FROM k, (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, rn - 1 AS e, x AS y FROM cut WHERE rn <= 64),
+{_round("b0", "b1")}, {_round("b1", "b2")}, {_round("b2", "b3")},
+c AS (SELECT rn, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM b3_near GROUP BY rn),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (rn), h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": LEAKS, "op9_ngram_jaccard": JACCARD}
+    return {"op6_decontamination": LEAKS, "op9_ngram_jaccard": JACCARD, "op12_vector_codes": CODES}
