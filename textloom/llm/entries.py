@@ -13,6 +13,7 @@ from .id_files import op2_token_ids
 from .jaccard import op9_ngram_jaccard
 from .lm_score import op8_lm_scoring
 from .packing import op7_packing
+from .phrases import op13_phrases
 from .pii import op5_pii
 from .quality import op4_quality_rules
 from .sharding import op10_sharding
@@ -22,7 +23,7 @@ from .vector_codes import op12_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op7_packing, op8_lm_scoring, op9_ngram_jaccard, op10_sharding, op11_byte_bpe, op12_vector_codes)
+    found = (op1_token_counts, op2_token_ids, op3_toxicity, op4_quality_rules, op5_pii, op6_decontamination, op7_packing, op8_lm_scoring, op9_ngram_jaccard, op10_sharding, op11_byte_bpe, op12_vector_codes, op13_phrases)
     return {f.__name__: f for f in found}
 
 
@@ -78,6 +79,23 @@ h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) A
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (rn), h
 """
 
+#: Phrases, in DuckDB.
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+u AS (SELECT lang, phrase, a, j, array_to_string(ws[1 : j], ' ') AS x, array_to_string(ws[j + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT u.lang, u.phrase, u.a, j, x.a AS l, y.a AS r, n, ((1000::HUGEINT * u.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.x JOIN f y ON y.lang = u.lang AND y.phrase = u.y JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, a, array_to_string(ws[o : o + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS o FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))),
+h AS (SELECT lang, phrase, max(a) AS most FROM i GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b LEFT JOIN h USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": LEAKS, "op9_ngram_jaccard": JACCARD, "op12_vector_codes": CODES}
+    return {"op6_decontamination": LEAKS, "op9_ngram_jaccard": JACCARD, "op12_vector_codes": CODES, "op13_phrases": PHRASES}
