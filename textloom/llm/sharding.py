@@ -1,11 +1,12 @@
 """Operator 10: balanced label propagation over documents with equal texts, in DataFrame operations only.
 
-Linked documents (equal texts) are dealt over the shards in turn, by a running total over their groups, so loads start
-within one of each other and below every shard's capacity. In each round a group's documents propose to move to the
-group's target shards: the one that holds most of it, or for a group that no shard can hold alone, as many shards as it
-needs, those first that hold or have room for most of it. A shard takes movers up to its quota: into its free places, and
-one for one against movers that go the other way, so no load ever exceeds its capacity. Rounds follow one another while
-the number of pairs kept together rises by GAIN of itself. Documents that are linked with none fill the rest, so shard
+First labels: the linked documents (equal texts), groups one after another and large ones first, are laid along the shards in
+equal stretches, so each border between two shards cuts one group at most and free places are the same in all shards. In
+each round a group's documents propose to move to the group's target shards: the one that holds most of it, or for a group
+that no shard can hold alone, as many shards as it needs, those first that hold or have room for most of it; a group that
+a border cuts and whose shards have no room asks for the shard that has most. A shard takes movers up to its quota: into
+its free places, and one for one against movers that go the other way, so no load ever exceeds its capacity. Rounds follow
+one another while the number of pairs kept together rises. Documents that are linked with none fill the rest, so shard
 sizes in rows differ by one at most (law ``rows``), whatever the links.
 
 The state is one row for each group and shard (members of a group are alike), so a group that holds a third of all rows
@@ -25,8 +26,6 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Another round follows one that raised the number of pairs kept together by this share.
-GAIN = 0.001
 #: Buckets of a flow between two shards, which is dealt out by running totals.
 BUCKETS = 64
 
@@ -36,12 +35,24 @@ def capacity(rows: int, shards: int):
     return F.lit(rows // shards) + (F.col("shard") < rows % shards).cast("long")
 
 
-def spread(groups: DataFrame, shards: int) -> DataFrame:
-    """First labels, (gid, shard, cnt): the members of all groups (gid, n) one after another, dealt over the shards in turn."""
-    first = common.running_total(groups, [], "gid", F.col("n"), common.buckets_for(groups.count()), "first")
-    each = first.select("gid", "n", "first", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)) - 1)).alias("i"))
-    count = F.floor((F.col("n") - 1 - F.col("i")) / shards) + 1
-    return each.select("gid", F.pmod(F.col("first") + F.col("i"), F.lit(shards)).cast("long").alias("shard"), count.cast("long").alias("cnt"))
+def spread(groups: DataFrame, rows: int, shards: int) -> DataFrame:
+    """First labels, (gid, shard, cnt): the members of all groups (gid, n), large groups first, in a stretch for each shard.
+
+    Stretches end at places that follow the capacities, so none is longer than its shard's capacity.
+    """
+    linked = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = [linked * ((s + 1) * (rows // shards) + min(s + 1, rows % shards)) // max(1, rows) for s in range(shards)]
+    # Groups of like size (by powers of two) follow one another; there are 63 such sizes at most.
+    sized = groups.withColumn("log", F.floor(F.log2("n")).cast("int"))
+    totals = sized.groupBy("log").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("groups"))
+    larger = Window.orderBy(F.desc("log")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("log", "groups", F.coalesce(F.sum("m").over(larger), F.lit(0)).alias("base"))
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("groups") / common.ROWS_PER_BUCKET))
+    placed = common.running_total(sized.join(F.broadcast(totals), "log"), ["log"], "gid", F.col("n"), buckets, "at")
+    at = F.col("base") + F.col("at")
+    stretches = F.array(*(F.struct(F.lit(s).cast("long").alias("shard"), F.lit(begin).cast("long").alias("begin"), F.lit(end).cast("long").alias("end")) for s, (begin, end) in enumerate(zip([0, *ends], ends, strict=False))))
+    share = F.transform(stretches, lambda e: F.struct(e["shard"].alias("shard"), (F.least(e["end"], at + F.col("n")) - F.greatest(e["begin"], at)).alias("cnt")))
+    return placed.select("gid", F.explode(F.filter(share, lambda x: x["cnt"] > 0)).alias("x")).select("gid", "x.shard", "x.cnt")
 
 
 def proposals(state: DataFrame, free: DataFrame, rows: int, shards: int) -> DataFrame:
@@ -100,9 +111,7 @@ def settled(state: DataFrame, rows: int, shards: int) -> DataFrame:
         now = kept(after)
         if now <= best:
             break
-        state, gain, best = after, now - best, now
-        if gain < GAIN * now:
-            break
+        state, best = after, now
     return state
 
 
@@ -122,12 +131,13 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     rows = base.count()
     groups = base.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = common.written(groups, "shard-groups")
-    state = settled(common.written(spread(groups, shards), "shard-state"), rows, shards)
+    state = settled(common.written(spread(groups, rows, shards), "shard-state"), rows, shards)
     # Places of the linked documents: the shards of a group one after another, its members in turn.
     upto = Window.partitionBy("gid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     places = state.select("gid", "shard", F.sum("cnt").over(upto).alias("upto")).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("places"))
-    known = groups.join(places, "gid")
-    linked = base.join(known, "gid")
+    known = common.written(groups.join(places, "gid"), "shard-known")
+    # A hot group is never one task's: groups of a thousandth of all rows are broadcast.
+    linked = common.joined_by_share(base, known, "gid", "n", rows)
     linked = common.numbered(linked, ["gid"], "rid", F.ceil(F.col("n") / common.ROWS_PER_BUCKET), "place")
     linked = linked.select("doc_id", "size", "text_crc32", "rid", F.filter("places", lambda p: p["upto"] > F.col("place"))[0]["shard"].alias("shard"))
     # The rest fill what is left of each shard; forty numbers tell where each shard's share of them ends.
@@ -135,7 +145,8 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     room = [rows // shards + (s < rows % shards) - load.get(s, 0) for s in range(shards)]
     if min(room) < 0:
         raise ValueError(f"a shard has more documents than places: {room}")
-    single = base.join(groups, "gid", "left_anti").select("doc_id", "size", "text_crc32", "rid")
+    single = base.join(F.broadcast(groups.where(F.col("n") * 1000 >= rows)), "gid", "left_anti")
+    single = single.join(groups.where(F.col("n") * 1000 < rows), "gid", "left_anti").select("doc_id", "size", "text_crc32", "rid")
     single = common.numbered(single, [], "rid", common.buckets_for(rows), "place")
     ends, end = F.lit(None).cast("long"), sum(room)
     for s in reversed(range(shards)):
