@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import lineage
+from .running import most_of_one, numbered
 from .scratch import written
 
 
@@ -60,9 +61,10 @@ def moved_texts(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     both = new.join(old.select("key", F.col("content").alias("_old")), "key").select("key", F.col("content").eqNullSafe(F.col("_old")).alias("same"))
     digest = F.coalesce(F.md5(F.col("content").cast("binary")), F.lit("-"))
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("key"))
-    numbered = lambda d: d.join(both, "key", "left_anti").select("key", digest.alias("digest")).withColumn("nth", nth)
-    moves = numbered(new).join(numbered(old).withColumnRenamed("key", "old_key"), ["digest", "nth"]).select("key", "old_key")
+    rest = lambda d: d.join(both, "key", "left_anti").select("key", digest.alias("digest"))
+    most = max(most_of_one(rest(new), ["digest"]), most_of_one(rest(old), ["digest"]))
+    nth = lambda d: numbered(rest(d), ["digest"], "key", "nth", most)
+    moves = nth(new).join(nth(old).withColumnRenamed("key", "old_key"), ["digest", "nth"]).select("key", "old_key")
     return both, moves
 
 
