@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 MOST_WORDS = 2_000_000
+#: Sums of logarithms that differ by less are equal products.
+EQUAL = 1e-9
 
 
 class Lattice:
@@ -43,7 +45,7 @@ class Lattice:
             j = i + 1
             while j <= n and text[i:j] in self.trie:
                 weight = self.trie[text[i:j]]
-                if weight is not None and j > i + 1 and weight + best[j] >= best[i]:
+                if weight is not None and j > i + 1 and weight + best[j] >= best[i] - EQUAL:
                     best[i], end[i] = weight + best[j], j
                 j += 1
         words, i = [], 0
