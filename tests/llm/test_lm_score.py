@@ -100,3 +100,58 @@ def test_every_word_has_contexts(spark):
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
     mean = lambda odd: sum(r.score for r in rows if r.held_out and r.n_tokens > 1 and held.index(r.doc_id) % 2 == odd) / 10
     assert mean(1) > mean(0) + 100  # words in an order that was seen are far likelier
+
+
+def machine_of(texts, trained, strengths=(0.7, 0.3)):
+    """The automaton of a part of texts, of which the first so many are training texts."""
+    every = [t.split() + ["\n"] for t in texts]
+    names = sorted({w for t in every for w in t})
+    hashes = np.array([hash(w) for w in names], np.int64)
+    places = np.array([names.index(w) for t in every for w in t])
+    lengths = np.array([len(t) for t in every])
+    found = lm_score.runs_of(hashes, places, lengths)
+    train = np.repeat(np.arange(len(texts)) < trained, lengths)
+    counts = [np.bincount(where, train, len(keys)) for keys, where in found]
+    starts = np.cumsum(lengths) - lengths
+    n_all, kinds = int(counts[0].sum()), int((counts[0] > 0).sum())
+    machine = lm_score.Automaton(found, counts, starts, list(strengths), n_all, kinds, trained)
+    word = {w: int(found[0][1][places.tolist().index(i)]) for i, w in enumerate(names)}
+    return machine, word, starts, lengths, n_all, kinds
+
+
+def test_states_and_failure_arcs_by_hand():
+    machine, word, starts, lengths, n, v = machine_of(["a b c", "a b a", "b d"], 2)
+    s1, s2 = 0.7, 0.3
+    p1 = {w: (c + 0.5) / (n + 0.5 * (v + 1)) for w, c in {"a": 3, "b": 2, "c": 1, "\n": 2, "d": 0}.items()}
+    state = np.array([machine.begin])
+    # begin begin -> a: both training texts begin with it
+    state, weight = machine.step(state, np.array([word["a"]]))
+    p2 = (2 + s1 * p1["a"]) / (2 + s1)
+    assert math.isclose(10 ** weight[0], (2 + s2 * p2) / (2 + s2))
+    assert machine.fail_to[state[0]] == 1 + word["a"] and machine.fail_to[machine.fail_to[state[0]]] == 0
+    # begin a -> c: no arc there, none at a, so two failure arcs lead to the root
+    after, weight = machine.step(state, np.array([word["c"]]))
+    assert math.isclose(10 ** weight[0], s2 / (2 + s2) * s1 / (3 + s1) * p1["c"])
+    assert after[0] == 1 + word["c"]
+    # begin a -> b and then d, which no training text has: two failure arcs, and the state is the root
+    after, _ = machine.step(state, np.array([word["b"]]))
+    last, weight = machine.step(after, np.array([word["d"]]))
+    assert math.isclose(10 ** weight[0], s2 / (2 + s2) * s1 / (2 + s1) * p1["d"]) and last[0] == 0
+
+
+def test_stretches_change_nothing():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 90))) for _ in range(30)]
+    machine, _, starts, lengths, _, _ = machine_of(texts, 20)
+    whole = machine.walk(starts, lengths, 10_000)
+    for stretch in (2, 3, 7, 64):
+        assert np.allclose(machine.walk(starts, lengths, stretch), whole, rtol=1e-12)
+    one = [sum(w for w in _each(machine, starts[i], lengths[i])) for i in range(len(texts))]
+    assert np.allclose(whole, one, rtol=1e-12)
+
+
+def _each(machine, start, length):
+    state = np.array([machine.begin])
+    for i in range(start, start + length):
+        state, weight = machine.step(state, machine.word[i : i + 1])
+        yield float(weight[0])

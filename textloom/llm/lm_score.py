@@ -7,11 +7,14 @@
    so words, contexts and arcs grow with the corpus.
 3. Automaton. A state is a context of two words, one or none; its arcs are the words seen after it, and its failure arc
    leads to the context without its first word. With n of an arc, t of its state and s of the length of context,
-   P(word | context) = (n + s * P(word | shorter context)) / (t + s), so the failure arc weighs s / (t + s), and one where
-   the context is unknown. At the root stands the base score's P(word), an unknown word among its events. s is the value at
-   which training words, each left out in turn, take the failure arc as often as there are arcs seen once.
-4. A task holds the arcs and states of its own part alone. The path of a text through them is known from its places: the
-   state before a word is the arc of one word less that ends there.
+   P(word | context) = (n + s * P(word | shorter context)) / (t + s): the log10 of this is the arc's weight, and the failure
+   arc weighs log10(s / (t + s)). At the root stands the base score's P(word), an unknown word among its events, so the root
+   has an arc for every word. s is the value at which training words, each left out in turn, take the failure arc as often
+   as there are arcs seen once. An arc leads to the longest context that has been seen and ends with its word.
+4. Traversal. A task holds the states and arcs that its own part needs, as tables keyed by state and word, and reads its
+   texts from left to right: the state of each goes along the word's arc or, as long as there is none, along failure arcs,
+   and the weights add up. All texts of a part move side by side. A long text is read in stretches; each begins two words
+   early, after which the state is the one that the whole text would have come with, as no state reaches further back.
 
 Defined results: a null or empty text is the end alone; a null doc_id is not held out; repeated rows are reported each;
 very long texts are whole; without training texts an unknown word is the only event; further columns are ignored.
@@ -33,6 +36,8 @@ from . import common
 from .tokens import in_parts
 
 ORDER = 3
+#: Words that a text is read in one go; longer ones are read in stretches, side by side.
+STRETCH = 256
 #: Bytes of text of a part.
 PART = 12_000_000
 #: Runs of words that a range of hashes gets on average; the number of ranges follows the input.
@@ -113,7 +118,7 @@ def _mixed(run: np.ndarray, before: np.ndarray) -> np.ndarray:
 def runs_of(words: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For runs of 1 to ORDER words: sorted distinct hashes, and for each token the one of the run that ends there."""
     keys, where = np.unique(words.view(np.uint64), return_inverse=True)
-    out = [(keys, where[places])]
+    out = [(keys, where[places].astype(np.int32))]
     hashes = run = words.view(np.uint64)[places]
     starts = np.cumsum(lengths) - lengths
     for k in range(1, ORDER):
@@ -122,7 +127,8 @@ def runs_of(words: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> list[
         for i in range(k):
             before[starts[lengths > i] + i] = BEGIN
         run = _mixed(run, before)
-        out.append(np.unique(run, return_inverse=True))
+        keys, where = np.unique(run, return_inverse=True)
+        out.append((keys, where.astype(np.int32)))
     return out
 
 
@@ -193,6 +199,100 @@ def strength(contexts: list[tuple[int, int]], once: int) -> float:
     return 10**low
 
 
+class Automaton:
+    """The states and arcs of a part.
+
+    States are numbered: 0 the root; 1 + word; the begin of a text; then the runs of two words; and the begin twice.
+    """
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], starts: np.ndarray, strengths: list[float], n_all: int, kinds: int, trained: int):
+        (words, self.word), (pairs, pair) = found[0], found[1]
+        one, two, three = (n.astype(np.float64) for n in counts)
+        self.n_words = len(words)
+        begin, pairs_from = 1 + len(words), 2 + len(words)
+        self.begin = pairs_from + len(pairs)
+        after_word = np.where(one > 0, 1 + np.arange(len(words)), 0)
+        at = self._first(pair, len(pairs))
+        last = self.word[at]
+        after_pair = np.where(two > 0, pairs_from + np.arange(len(pairs)), after_word[last])
+        is_start = np.zeros(len(pair), bool)
+        is_start[starts] = True
+
+        self.fail_to = np.zeros(self.begin + 1, np.int64)
+        self.fail_to[pairs_from : self.begin] = after_word[last]
+        self.fail_to[self.begin] = begin
+        seen = np.concatenate([[0], one, [trained], two, [trained]])  # of each state
+        strength = np.concatenate([[1.0], np.full(1 + len(words), strengths[0]), np.full(1 + len(pairs), strengths[1])])
+        self.fail_weight = np.log10(strength / (seen + strength))
+        self.fail_weight[0] = 0
+
+        p_word = (one + 0.5) / (n_all + 0.5 * (kinds + 1))
+        self.root_weight, self.root_to = np.log10(p_word), after_word
+        before = np.where(is_start[at], begin, 1 + self.word[at - 1])
+        p_pair = (two + strengths[0] * p_word[last]) / (seen[before] + strengths[0])
+        arcs = [(two > 0, before, last, p_pair, after_pair)]
+        at = self._first(found[2][1], len(found[2][0]))
+        before = np.where(is_start[at], self.begin, pairs_from + pair[at - 1])
+        p_three = (three + strengths[1] * p_pair[pair[at]]) / (seen[before] + strengths[1])
+        arcs.append((three > 0, before, self.word[at], p_three, after_pair[pair[at]]))
+        keys = np.concatenate([before[known].astype(np.int64) * self.n_words + word[known] for known, before, word, _, _ in arcs])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.weight = np.log10(np.concatenate([p[known] for known, _, _, p, _ in arcs]))[order]
+        self.to = np.concatenate([to[known] for known, _, _, _, to in arcs])[order].astype(np.int32)
+
+    @staticmethod
+    def _first(where: np.ndarray, n: int) -> np.ndarray:
+        """The first place of each of n runs."""
+        first = np.empty(n, np.int64)
+        first[where[::-1]] = np.arange(len(where) - 1, -1, -1)
+        return first
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word each, and what the arcs on the way weigh."""
+        state, weight = state.copy(), np.zeros(len(state))
+        todo = np.arange(len(state))
+        while len(todo):
+            own = state[todo]
+            at_root = own == 0
+            done = todo[at_root]
+            weight[done] += self.root_weight[word[done]]
+            state[done] = self.root_to[word[done]]
+            todo, own = todo[~at_root], own[~at_root]
+            if not len(todo):
+                break
+            key = own.astype(np.int64) * self.n_words + word[todo]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(len(key), np.int64)
+            hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+            done, at = todo[hit], at[hit]
+            weight[done] += self.weight[at]
+            state[done] = self.to[at]
+            todo, own = todo[~hit], own[~hit]
+            weight[todo] += self.fail_weight[own]
+            state[todo] = self.fail_to[own]
+        return state, weight
+
+    def walk(self, starts: np.ndarray, lengths: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """The weight of each text, read from left to right."""
+        parts = -(-lengths // stretch)
+        text = np.repeat(np.arange(len(lengths)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = starts[text] + nth * stretch
+        left = np.minimum(lengths[text] - nth * stretch, stretch)
+        order = np.argsort(-left, kind="stable")
+        text, nth, at, left = text[order], nth[order], at[order], left[order]
+        state = np.where(nth == 0, self.begin, 0)
+        inside = np.flatnonzero(nth > 0)
+        for back in (2, 1):
+            state[inside], _ = self.step(state[inside], self.word[at[inside] - back])
+        total = np.zeros(len(text))
+        for i in range(int(left[0]) if len(left) else 0):
+            on = int(np.searchsorted(-left, -i, "left"))  # stretches of more than i words
+            state[:on], weight = self.step(state[:on], self.word[at[:on] + i])
+            total[:on] += weight
+        return np.bincount(text, total, len(lengths))
+
+
 def score(docs: DataFrame, train_unless: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs."""
     spark = docs.sparkSession
@@ -219,16 +319,11 @@ def score(docs: DataFrame, train_unless: int = 1) -> DataFrame:
             found = runs_of(np.frombuffer(row["words"], "<i8"), restored(row["places"]), lengths)
             sizes = np.stack([np.bincount(range_of(keys, ranges), minlength=ranges)[present] for keys, _ in found])
             ends = np.cumsum(sizes, axis=0)
-            context, below = None, None
-            for k, (_, where) in enumerate(found):
-                n = np.concatenate([x[e - s : e] for x, e, s in zip(own, ends[k], sizes[k], strict=True)])[where].astype(np.float64)
-                if k == 0:
-                    known, below = n > 0, (n + 0.5) / (n_all + 0.5 * (kinds + 1))
-                    base = np.log10(below)
-                else:
-                    below = (n + strengths[k - 1] * below) / (context + strengths[k - 1])
-                context = np.append(0, n[:-1])
-                context[starts] = trained
+            totals = [np.concatenate([x[e - s : e] for x, e, s in zip(own, ends[k], sizes[k], strict=True)]) for k in range(ORDER)]
+            known = (totals[0] > 0)[found[0][1]]
+            machine = Automaton(found, totals, starts, strengths, n_all, kinds, trained)
+            base = machine.root_weight[found[0][1]]
+            found, totals = [], []
             out.append(
                 pa.table(
                     {
@@ -238,7 +333,7 @@ def score(docs: DataFrame, train_unless: int = 1) -> DataFrame:
                         "n_known": np.add.reduceat(known.astype(np.int64), starts),
                         "train_tokens": np.full(len(lengths), n_all, np.int64),
                         "base_score": np.add.reduceat(base, starts),
-                        "score": np.add.reduceat(np.log10(below), starts),
+                        "score": machine.walk(starts, lengths),
                     }
                 )
             )
