@@ -1,35 +1,21 @@
-"""What the training-data operators share: the shared scratch folder, written tables, running totals."""
+"""What the training-data operators share: written tables, running totals, joins that split hot keys."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.scratch import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 #: ASCII letters for translate(), which leaves every other letter as it is.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one task ranks at most; buckets are added as the input grows.
 ROWS_PER_BUCKET = 8_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and return a reader of it.
-
-    Lost executors cannot take these rows with them, unlike a local checkpoint.
-    """
-    path = f"{shared_dir(df.sparkSession)}/textloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _kept: dict[object, object] = {}
 
 
