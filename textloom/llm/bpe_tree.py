@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +39,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of a leaf of the tree.
 LEAF = 24
 #: Stretches, matches and pairs that a worker remembers of each kind, each of so many characters at most.
-REMEMBERED, SHORT = 400_000, 48
+REMEMBERED, SHORT = 600_000, 48
 #: Ids of a leaf when decoding.
 DECODED = 4096
+#: Signs that are one match where they follow letters; an apostrophe may begin one with letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Before a space that follows no white space of any kind, a match always ends.
 _CUT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff])(?= )")
 
@@ -72,21 +75,24 @@ class TreeEncoder:
         # The white space of the pattern is Unicode's.
         self.matches = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.stretch = Memory(self._stretch)
-        self.match = Memory(lambda text: np.array(self.encoded(text.encode()), "<u4").tobytes())
+        self.match = Memory(lambda text: struct.pack(f"<{len(ids := self.encoded(text.encode()))}I", *ids))
         self.alone = Memory(lambda pair: self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair])
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: the leftmost neighbours of lowest rank are merged until none can be."""
         ranks, none = self.ranks, len(self.bytes_of)
         if len(data) <= 2 * LEAF:
+            rank = ranks.get
             parts = [data[i : i + 1] for i in range(len(data))]
-            while len(parts) > 1:
-                found = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-                best = min(found)
-                if best == none:
-                    break
+            found = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]  # of each part with the next
+            while found and (best := min(found)) < none:
                 at = found.index(best)
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                part = parts[at] = parts[at] + parts.pop(at + 1)
+                del found[at]
+                if at < len(found):
+                    found[at] = rank(part + parts[at + 1], none)
+                if at:
+                    found[at - 1] = rank(parts[at - 1] + part, none)
             return [ranks[p] for p in parts]
         # The same with a heap: a part is [start, end), ends and befores link each part's start to its neighbours.
         n = len(data)
@@ -139,6 +145,9 @@ class TreeEncoder:
         return self.reduced(data) if known is None else [known]
 
     def _stretch(self, text: str) -> bytes:
+        word = text.rstrip(SIGNS)
+        if word[word.startswith(" ") :].isalpha():  # letters with or without a space before and signs after
+            return self.match[word] + self.match[text[len(word) :]] if len(word) < len(text) else self.match[word]
         return b"".join(map(self.match.__getitem__, self.matches(text)))
 
     def ids(self, text: str) -> bytes:
