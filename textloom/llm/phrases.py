@@ -12,8 +12,9 @@
 4. Subsumption. Every shorter run inside a candidate is joined with the candidates, with the highest count that holds it.
 5. The first phrases of each language, by hash buckets first, so a language is never ranked in one task.
 
-The bits are broadcast: 2 x 2^LARGEST bits, 16 MB at most. Up to there the width follows the input; beyond, the sketch tells less
-apart, more runs are counted exactly and shuffled, and the results are the same.
+The bits are broadcast: 2 x 2^LARGEST bits, 8 MB at most. Up to there the width follows the input; beyond, the sketch tells less
+apart, more runs are counted exactly and shuffled, and the results are the same. A cluster with room for a wider sketch
+passes a larger width.
 
 Defined results: a null or empty text has no words; a null language is ``und``; repeated rows count each; texts are whole and
 very long ones are cut between pieces only (a single piece is whole); ties in score and count are ordered by phrase; an empty
@@ -37,9 +38,11 @@ from . import common
 
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Rows of the sketch; log2 of its smallest and largest width, and of the cells of a block.
-DEPTH, SMALLEST, LARGEST, BLOCK = 2, 16, 26, 18
+DEPTH, SMALLEST, LARGEST, BLOCK = 2, 16, 25, 18
 #: Bytes of text for each cell of a row.
-BYTES_PER_CELL = 16
+BYTES_PER_CELL = 2
+#: Bytes of text whose runs meet in one range of phrases.
+PER_RANGE = 16_000_000
 #: Bytes of text that are hashed at once, and phrases that a task counts before it sends them.
 SLICE, HELD = 2_000_000, 300_000
 NO_LANGUAGE = "und"
@@ -176,21 +179,35 @@ def frequent_cells(rows: DataFrame, width: int, least: int, longest: int) -> lis
     return found
 
 
-def exact_counts(rows: DataFrame, bits: list[np.ndarray], width: int, least: int, longest: int) -> DataFrame:
-    """(lang, size, phrase, a): exact counts of all runs that occur least times; with size 0, all words of the language."""
+def exact_counts(rows: DataFrame, bits: list[np.ndarray], width: int, least: int, longest: int, ranges: int) -> DataFrame:
+    """(lang, size, phrase, a): exact counts of all runs that occur least times; with size 0, all words of the language.
+
+    A task sends its counts packed, a row for each language and range of phrases; ranges follow the input.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
-    def sent(counts: Counter) -> pa.RecordBatch:
-        langs, sizes, phrases = zip(*counts, strict=True)
-        return pa.record_batch({"lang": pa.array(langs), "size": pa.array(sizes, pa.int32()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "a": pa.array(counts.values(), pa.int64())})
+    def sent(counts: dict[str, Counter]) -> pa.RecordBatch:
+        out: dict[tuple[str, int], tuple[list[bytes], list[int]]] = {}
+        for lang, own in counts.items():
+            seed = xxhash.xxh3_64_intdigest(lang)
+            for phrase, n in own.items():
+                phrases, times = out.setdefault((lang, (xxhash.xxh3_64_intdigest(phrase) ^ seed) % ranges), ([], []))
+                phrases.append(phrase)
+                times.append(n)
+        langs, to = zip(*out, strict=True)
+        # No phrase holds a line end.
+        listed = [zstandard.compress(b"\n".join(phrases), 1) for phrases, _ in out.values()]
+        times = [zstandard.compress(np.array(n, "<i8").tobytes(), 1) for _, n in out.values()]
+        return pa.record_batch({"range": pa.array(to, pa.int64()), "lang": pa.array(langs), "phrases": pa.array(listed, pa.binary()), "times": pa.array(times, pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, words, counts = shared.value, Words(), Counter()
+        bits, words, counts = shared.value, Words(), {}
         for batch in batches:
             for lang, text in by_language(batch):
                 words = task_words(words)
                 numbers = numbered(text, words)
-                counts[lang, 0, b""] += int((numbers > 1).sum())
+                found = counts.setdefault(lang, Counter())
+                found[b""] += int((numbers > 1).sum())
                 held = np.zeros(len(numbers) + 1, bool)  # where a surviving run of one word less begins
                 for k, (places, hashes) in enumerate(runs(numbers, words, lang, longest)):
                     if k:
@@ -202,21 +219,31 @@ def exact_counts(rows: DataFrame, bits: list[np.ndarray], width: int, least: int
                         places, hashes = places[stay], hashes[stay]
                     held = np.zeros(len(numbers) + 1, bool)
                     held[places] = True
-                    # Equal runs of one length have equal words: runs are told by the words themselves, not by their hashes.
+                    # Runs are told by the words themselves, not by their hashes.
                     own = numbers[places[:, None] + np.arange(k + 1)]
                     order = np.lexsort(own.T)
                     own = own[order]
                     starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])) if len(own) else np.empty(0, np.int64)
                     for run, n in zip(own[starts].tolist(), np.diff(starts, append=len(own)).tolist(), strict=True):
-                        counts[lang, k + 1, b" ".join([words.text[w] for w in run])] += n
-                if len(counts) > HELD:
+                        found[b" ".join([words.text[w] for w in run])] += n
+                if sum(map(len, counts.values())) > HELD:
                     yield sent(counts)
-                    counts = Counter()
+                    counts = {}
         if counts:
             yield sent(counts)
 
-    found = rows.mapInArrow(count, "lang string, size int, phrase string, a long")
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | ((F.col("size") == 0) & (F.col("a") > 0)))
+    def total(table: pa.Table) -> pa.Table:
+        counts: dict[str, Counter] = {}
+        for lang, phrases, times in zip(*(table[c].to_pylist() for c in ("lang", "phrases", "times")), strict=True):
+            own = counts.setdefault(lang, Counter())
+            for phrase, n in zip(zstandard.decompress(phrases).split(b"\n"), np.frombuffer(zstandard.decompress(times), "<i8").tolist(), strict=True):
+                own[phrase] += n
+        kept = [(lang, 1 + phrase.count(b" ") if phrase else 0, phrase, n) for lang, own in counts.items() for phrase, n in own.items() if n >= (least if phrase else 1)]
+        columns = list(zip(*kept, strict=True)) or [(), (), (), ()]
+        return pa.table({"lang": pa.array(columns[0], pa.string()), "size": pa.array(columns[1], pa.int32()), "phrase": pa.array(columns[2], pa.binary()).cast(pa.string()), "a": pa.array(columns[3], pa.int64())})
+
+    found = rows.mapInArrow(count, "range long, lang string, phrases binary, times binary")
+    return found.groupBy("range").applyInArrow(total, "lang string, size int, phrase string, a long")
 
 
 def first_of(df: DataFrame, key: str, order: list[Column], by: str, limit: int, rows: int, name: str) -> DataFrame:
@@ -258,10 +285,11 @@ def score(phrases: DataFrame, keep_share: int = 100) -> DataFrame:
 def mine(docs: DataFrame, least: int = LEAST, first: int = FIRST, longest: int = LONGEST, width: int | None = None, keep_share: int = 100) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the first phrases of each language."""
     rows = rows_of(docs)
-    if width is None:
-        width = width_of(rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    width = width_of(size) if width is None else width
     bits = frequent_cells(rows, width, least, longest)
-    phrases = common.written(exact_counts(rows, bits, width, least, longest), "phrases")
+    ranges = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // PER_RANGE))
+    phrases = common.written(exact_counts(rows, bits, width, least, longest, ranges), "phrases")
     scored = common.written(score(phrases, keep_share), "phrases-scored")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     ranked = first_of(scored, "lang", order, "phrase", first, scored.count(), "rank")
