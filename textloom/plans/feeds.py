@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import feeds, groups, intervals
+from ..operators.scratch import shared_dir
+from ..sources import snapshots
 from ..sources.catalog import Catalog
+from ..streaming import sinks
 from .queries import query
 
 # Two manifests: half of the files move to another folder, some lose their first line, some get one, some go.
@@ -126,3 +131,43 @@ def excluded_texts_repaired(c: Catalog) -> DataFrame:
     which = intervals.affected([rows.where("role = 'system'"), rows.where(F.startswith("text", F.lit("A"))), rows.where("turn = 0 and length(text) < 200")], "talk")
     signed = lambda d: groups.signature(d.select("talk", "line").distinct(), ["talk"], "line")
     return intervals.repaired(signed(rows), signed(rows.where(~out)), which, "talk")
+
+
+# Changes of paths along five versions, some of which take a path away; two roots that share paths.
+CHANGES = (
+    "changes AS (SELECT n_chars % 5 AS version, source || '/' || doc_id % 50 AS path, CASE WHEN n_chars % 7 <> 3 THEN text END AS content FROM documents), "
+    "last AS (SELECT path, content, version FROM changes WHERE version <= 3 QUALIFY row_number() OVER (PARTITION BY path ORDER BY version DESC, coalesce(content, '') DESC) = 1)"
+)
+
+
+@query(f"WITH {CHANGES} SELECT path, md5(content) AS digest, version FROM last WHERE content IS NOT NULL AND (starts_with(path, 'src1') OR starts_with(path, 'src2/'))")
+def snapshot_as_of(c: Catalog) -> DataFrame:
+    """What stood at some paths in a version."""
+    docs = c.table("documents")
+    place = F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string"))
+    changes = docs.select((F.col("n_chars") % 5).alias("version"), place.alias("path"), F.when(F.col("n_chars") % 7 != 3, F.col("text")).alias("content"))
+    return snapshots.as_of(changes, 3, ("src1", "src2/")).select("path", F.md5("content").alias("digest"), "version")
+
+
+@query("SELECT path, arg_min(md5(content), root) AS digest, min(root)::INT AS root FROM (SELECT 'f' || item_id AS path, text AS content, 0 AS root FROM benchmark UNION ALL SELECT 'f' || page_id, html, 1 FROM pages UNION ALL SELECT 'f' || doc_id, text, 2 FROM documents) GROUP BY path")
+def roots_first_wins(c: Catalog) -> DataFrame:
+    """Paths that several roots have, by the first of them."""
+    root = lambda name, key, text: c.table(name).select(F.concat(F.lit("f"), F.col(key).cast("string")).alias("path"), F.col(text).alias("content"))
+    rows = snapshots.first_root([root("benchmark", "item_id", "text"), root("pages", "page_id", "html"), root("documents", "doc_id", "text")])
+    return rows.select("path", F.md5("content").alias("digest"), "root")
+
+
+@query("SELECT event_type, count(*) AS n, max(n_users) AS n_users FROM events JOIN (SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type) USING (event_type) WHERE day(ts) <= 20 GROUP BY event_type")
+def dual_sink_committed(c: Catalog) -> DataFrame:
+    """Batches written to two tables: one is complete, one lacks its row in the log and is not seen, one comes twice."""
+    events = c.table("events")
+    path = f"{shared_dir(c.spark)}/textloom/sink-{uuid.uuid4().hex}"
+    batch = lambda low, high: events.where(F.dayofmonth("ts").between(low, high))
+    users = events.select("event_type", "user_id").distinct()
+    sinks.commit(c.spark, path, 0, {"events": batch(1, 10).select("event_id", "event_type"), "users": users})
+    for _ in range(2):
+        sinks.commit(c.spark, path, 1, {"events": batch(11, 20).select("event_id", "event_type"), "users": users.limit(0)})
+    batch(21, 31).select("event_id", "event_type").write.parquet(f"{path}/events/batch=2")
+    rows = sinks.visible(c.spark, path, "events", "event_id long, event_type string")
+    known = sinks.visible(c.spark, path, "users", "event_type string, user_id long").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_users"))
+    return rows.join(known, "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("n_users").alias("n_users"))
