@@ -1,8 +1,8 @@
 """A training corpus from the documents table, in stages whose decisions take effect on what the next one gets.
 
 1. Quality rules: documents that they reject go.
-2. N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays. Rows that repeat a
-   doc_id are linked by it, so one of them stays; without a doc_id a document links with nothing and stays.
+2. N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays (one without a doc_id
+   only where all are). Rows are linked by their texts alone: rows of one doc_id with different texts all stay.
 3. Benchmark decontamination: documents with a window of a benchmark item go.
 4. Personal data: every span found is replaced by its kind in brackets, and n_chars follows.
 5. Packing: the pieces of what is left, in sequences.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.llm import common, decontaminate, jaccard, packing, pii, quality
 
@@ -27,12 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = jaccard.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
-    kept = rows.where("_id is not null").join(stay, "_id", "left_semi")
-    first = Window.partitionBy("_id").orderBy(F.col("_row.text"))
-    kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_row.*")
-    return kept.unionByName(rows.where("_id is null").select("_row.*"))
+    # Rows go by numbers of their own, so they are linked by their texts alone, whatever their doc_id.
+    rows = docs.select(F.monotonically_increasing_id().alias("_n"), F.col("doc_id").cast("long").alias("_id"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    groups = jaccard.join(rows.select(F.col("_n").alias("doc_id"), "_row.text")).select(F.col("doc_id").alias("_n"), "component_id")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_n")).alias("first")
+    stay = groups.join(rows.select("_n", "_id"), "_n").groupBy("component_id").agg(first).select("first._n")
+    return rows.join(stay, "_n", "left_semi").select("_row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
