@@ -55,3 +55,13 @@ def test_odd_rows(spark, odd_docs, no_docs, sf_dir):
     assert ids(corpus_pipeline.benchmark_decontamination(spark, odd_docs, sf_dir)) == ids(odd_docs)
     assert ids(corpus_pipeline.personal_data(spark, odd_docs, sf_dir)) == ids(odd_docs)
     assert corpus_pipeline.best_fit_packing(spark, no_docs, sf_dir).count() == 0
+
+
+def test_rows_of_one_doc_id(spark, sf_dir):
+    """Linked by text alone: of equal texts the smallest doc_id stays, null only where there is no other."""
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a")), (None, words("b")), (None, words("c")), (None, words("c") + " more"), (3, ""), (3, None), (0, words("d")), (0, words("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.ngram_jaccard(spark, docs, sf_dir).collect()]
+    assert sorted((x for x in got if x[0] is not None), key=str) == sorted([(1, words("a")), (1, words("b")), (3, ""), (3, None), (0, words("d"))], key=str)
+    assert [x[1] for x in got if x[0] is None] in ([words("c")], [words("c") + " more"])

@@ -36,9 +36,8 @@ from .tokens import text_parts
 
 SEQUENCE, END_ID = 1024, 2
 ITEMS, ISLANDS, POPULATION, CHILDREN, ELITE = 20_000, 3, 6, 3, 3
-#: Generations without fewer sequences after which an island rests: while other blocks will share what is left open, and
-#: where one block holds all of a round.
-PATIENCE = (4, 25)
+#: Generations without fewer sequences after which an island rests.
+PATIENCE = 12
 #: What a crossover draws from: tokens that a well-filled sequence leaves empty at most, the share of such ones that it
 #: takes, and the shares of the other parent's sequences, not full and full, that it opens besides.
 SPARES, SHARES, OPENED, BROKEN = (0, 0, 1, 2, 8), (0.1, 0.3, 0.6, 0.9), (0.2, 0.5, 1.0), (0.0, 0.02, 0.1)
@@ -205,7 +204,7 @@ def evolve(lengths: np.ndarray, seed: int, size: int, start: list[np.ndarray] |
 def islands(items: DataFrame, total: int, size: int) -> DataFrame:
     """(pid, length, block, bin, place, fill) of items (pid, length): the bin within its block, and how full it is."""
     blocks = max(1, -(-total // ITEMS))
-    patience = PATIENCE[blocks == 1]
+    patience = PATIENCE
     items = items.select("pid", "length", F.pmod(F.xxhash64("pid"), F.lit(blocks)).alias("block"))
     isles = items.withColumn("island", F.explode(F.array(*map(F.lit, range(ISLANDS)))))
 
