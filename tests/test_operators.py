@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -67,20 +68,25 @@ def test_similar_against_brute_force(spark):
     cur += [(200, base[0][:-1] + "q"), (201, base[0][:-1] + "r")]
     # Shifted at the front and edited at the end: no anchor is shared, so texts of like length meet it.
     cur += [(300 + i, "zz" + t[: len(t) // 2] + "yy" + t[len(t) // 2 : -2] + "xx") for i, t in enumerate(base[15:20])]
+    # Much longer than before: found by the runs that both have.
+    cur += [(400 + i, "XX " + t + " over it all and") for i, t in enumerate(base[20:])]
     ratio = {(a, b): round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6) for a, x in cur for b, y in old}
     near = {(a, b) for a, x in cur for b, y in old if abs(len(x) - len(y)) <= max(2, min(64, len(x) // 8))}
     runs = lambda t: {("p", t[:4]), ("s", t[-4:]), ("m", t[(len(t) - 4) // 2 :][:4])}
     keyed = {(a, b) for a, x in cur for b, y in old if (a, b) in near and runs(x) & runs(y)}
     alone = {a for a, _ in cur} - {a for a, _ in keyed}
     assert len(alone) >= 4
-    pairs = {p: ratio[p] for p in keyed | {p for p in near if p[0] in alone} if ratio[p] >= 0.6}
+    runs_of = lambda t: Counter(t[i : i + 8] for i in range(max(1, len(t) - 7)))
+    shared = {(a, b) for a, x in cur for b, y in old if 100 * (runs_of(x) & runs_of(y)).total() >= 25 * max(runs_of(x).total(), runs_of(y).total())}
+    assert shared - near
+    pairs = {p: ratio[p] for p in keyed | shared | {p for p in near if p[0] in alone} if ratio[p] >= 0.6}
     want = set()
     for a, _ in cur:
         mine = sorted((-s, b) for (x, b), s in pairs.items() if x == a)
         if mine and (len(mine) == 1 or mine[1][0] - mine[0][0] >= 0.08) and min((-s, x) for (x, b), s in pairs.items() if b == mine[0][1])[1] == a:
             want.add((a, mine[0][1]))
     got = {(r.hash, r.previous_hash) for r in lineage.similar(spark.createDataFrame(cur, "hash long, content string"), spark.createDataFrame(old, "hash long, content string")).collect()}
-    assert got == want and len(got) >= 15 and any(a >= 300 for a, _ in got)
+    assert got == want and len(got) >= 15 and any(300 <= a < 400 for a, _ in got) and any(a >= 400 for a, _ in got)
 
 
 def test_presence(spark):

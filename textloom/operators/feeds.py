@@ -34,9 +34,9 @@ def _lines(files: DataFrame) -> DataFrame:
     return found.withColumn("total", F.sum(F.col("n") * F.col("bytes")).over(Window.partitionBy("path")))
 
 
-def alike(old: DataFrame, new: DataFrame, share: int = SHARE) -> DataFrame:
-    """(old_path, new_path, score): files that share lines of so many percent of the larger one's bytes, and how many."""
-    a, b = _lines(old), _lines(new)
+def sharing(a: DataFrame, b: DataFrame, share: int) -> DataFrame:
+    """(old_path, new_path, larger, kept) of two sides of multisets, (path, line, n, bytes, total): pairs that hold so many
+    percent of the larger one's bytes in common, and how many bytes these are. Exact: no pair is left out."""
     every = a.select("line").unionByName(b.select("line")).groupBy("line").agg(F.count(F.lit(1)).alias("files"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
@@ -50,7 +50,12 @@ def alike(old: DataFrame, new: DataFrame, share: int = SHARE) -> DataFrame:
     both = pairs.join(a.select(F.col("path").alias("old_path"), "line", "bytes", F.col("n").alias("_a")), "old_path")
     both = both.join(b.select(F.col("path").alias("new_path"), "line", "bytes", F.col("n").alias("_b")), ["new_path", "line", "bytes"])
     kept = both.groupBy("old_path", "new_path", "larger").agg(F.sum(F.least("_a", "_b") * F.col("bytes")).alias("kept"))
-    return kept.where(F.col("kept") * 100 >= F.col("larger") * share).select("old_path", "new_path", F.expr("kept * 100 div larger").alias("score"), "kept")
+    return kept.where(F.col("kept") * 100 >= F.col("larger") * share)
+
+
+def alike(old: DataFrame, new: DataFrame, share: int = SHARE) -> DataFrame:
+    """(old_path, new_path, score, kept): files that share lines of so many percent of the larger one's bytes."""
+    return sharing(_lines(old), _lines(new), share).select("old_path", "new_path", F.expr("kept * 100 div larger").alias("score"), "kept")
 
 
 def name_status(old: DataFrame, new: DataFrame, scope: tuple[str, ...] = (), share: int = SHARE) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import groups, history
+from ..operators import groups, history, lineage
 from ..sources.catalog import DIALOGUE, TEXT_MAP, VERSION_DIM, Catalog
 from .queries import FOLDED, NORM, TIER, query
 
@@ -356,3 +356,24 @@ def text_search_by_kind(c: Catalog) -> DataFrame:
 def prefix_references(c: Catalog) -> DataFrame:
     refs = c.table("orders").where(F.startswith("o_orderpriority", F.lit("2-")))
     return refs.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
+
+
+# Turns of talks against turns of which some have lost their first words and got an end: which share runs of characters.
+OLDER = "older AS (SELECT conv_id * 1000 + turn AS hash, CASE WHEN (conv_id + turn) % 3 = 0 AND contains(text, ' ') THEN substr(text, strpos(text, ' ') + 1) || ' and more of it' ELSE text END AS content FROM conversations)"
+RUNS = "(SELECT hash, run, count(*) AS n FROM (SELECT hash, substr(content, i, 8) AS run FROM (SELECT *, unnest(range(1, greatest(length(content) - 7, 1) + 1)) AS i FROM {} WHERE content <> '')) GROUP BY ALL)"
+
+
+@query(
+    f"WITH {OLDER}, newer AS (SELECT conv_id * 1000 + turn AS hash, text AS content FROM conversations WHERE turn < 4), a AS {RUNS.format('newer')}, b AS {RUNS.format('older')}, "
+    "x AS (SELECT hash, sum(n) AS total FROM a GROUP BY hash), y AS (SELECT hash, sum(n) AS total FROM b GROUP BY hash), "
+    "k AS (SELECT a.hash, b.hash AS previous_hash, sum(least(a.n, b.n))::BIGINT AS kept FROM a JOIN b USING (run) GROUP BY ALL) "
+    "SELECT k.hash, previous_hash, kept, greatest(x.total, y.total)::BIGINT AS larger FROM k JOIN x ON x.hash = k.hash JOIN y ON y.hash = previous_hash WHERE kept * 100 >= greatest(x.total, y.total) * 25"
+)
+def lineage_sharing(c: Catalog) -> DataFrame:
+    """Pairs of texts that have a quarter of the longer one's runs of eight characters in common."""
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("hash")
+    rest = F.substring_index("text", " ", 1)
+    cut = (F.col("conv_id") + F.col("turn")) % 3 == 0
+    older = c.table("conversations").select(key, F.when(cut & F.contains("text", F.lit(" ")), F.concat(F.substring("text", F.length(rest) + 2, F.length("text")), F.lit(" and more of it"))).otherwise(F.col("text")).alias("content"))
+    newer = c.table("conversations").where("turn < 4").select(key, F.col("text").alias("content"))
+    return lineage.sharing_grams(newer, older)
