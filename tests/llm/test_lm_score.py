@@ -114,7 +114,7 @@ def machine_of(texts, trained, strengths=(0.7, 0.3)):
     counts = [np.bincount(where, train, len(keys)) for keys, where in found]
     starts = np.cumsum(lengths) - lengths
     n_all, kinds = int(counts[0].sum()), int((counts[0] > 0).sum())
-    machine = lm_score.Automaton(found, counts, starts, list(strengths), n_all, kinds, trained)
+    machine = lm_score.Automaton([where for _, where in found], counts, starts, list(strengths), n_all, kinds, trained)
     word = {w: int(found[0][1][places.tolist().index(i)]) for i, w in enumerate(names)}
     return machine, word, starts, lengths, n_all, kinds
 

@@ -205,47 +205,54 @@ class Automaton:
     States are numbered: 0 the root; 1 + word; the begin of a text; then the runs of two words; and the begin twice.
     """
 
-    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], starts: np.ndarray, strengths: list[float], n_all: int, kinds: int, trained: int):
-        (words, self.word), (pairs, pair) = found[0], found[1]
-        one, two, three = (n.astype(np.float64) for n in counts)
-        self.n_words = len(words)
-        begin, pairs_from = 1 + len(words), 2 + len(words)
-        self.begin = pairs_from + len(pairs)
-        after_word = np.where(one > 0, 1 + np.arange(len(words)), 0)
-        at = self._first(pair, len(pairs))
-        last = self.word[at]
-        after_pair = np.where(two > 0, pairs_from + np.arange(len(pairs)), after_word[last])
+    def __init__(self, where: list[np.ndarray], counts: list[np.ndarray], starts: np.ndarray, strengths: list[float], n_all: int, kinds: int, trained: int):
+        """where: for each place the run of one, two and three words that ends there; counts: of each run in training."""
+        self.word, pair, triple = where
+        one, two, three = counts
+        self.n_words = len(one)
+        begin, pairs_from = 1 + len(one), 2 + len(one)
+        self.begin = pairs_from + len(two)
+        after_word = np.where(one > 0, 1 + np.arange(len(one), dtype=np.int32), 0).astype(np.int32)
         is_start = np.zeros(len(pair), bool)
         is_start[starts] = True
+        at = self._first(pair, len(two))
+        last = self.word[at]
+        after_pair = np.where(two > 0, pairs_from + np.arange(len(two), dtype=np.int32), after_word[last]).astype(np.int32)
 
-        self.fail_to = np.zeros(self.begin + 1, np.int64)
+        self.fail_to = np.zeros(self.begin + 1, np.int32)
         self.fail_to[pairs_from : self.begin] = after_word[last]
         self.fail_to[self.begin] = begin
-        seen = np.concatenate([[0], one, [trained], two, [trained]])  # of each state
-        strength = np.concatenate([[1.0], np.full(1 + len(words), strengths[0]), np.full(1 + len(pairs), strengths[1])])
-        self.fail_weight = np.log10(strength / (seen + strength))
-        self.fail_weight[0] = 0
+        seen = np.concatenate([[0.0], one, [trained], two, [trained]])  # of each state
+        self.fail_weight = np.empty(len(seen))
+        for part, s in ((slice(0, 1), 1.0), (slice(1, pairs_from), strengths[0]), (slice(pairs_from, None), strengths[1])):
+            self.fail_weight[part] = np.log10(s / (seen[part] + s))
 
         p_word = (one + 0.5) / (n_all + 0.5 * (kinds + 1))
         self.root_weight, self.root_to = np.log10(p_word), after_word
         before = np.where(is_start[at], begin, 1 + self.word[at - 1])
         p_pair = (two + strengths[0] * p_word[last]) / (seen[before] + strengths[0])
-        arcs = [(two > 0, before, last, p_pair, after_pair)]
-        at = self._first(found[2][1], len(found[2][0]))
+        # States of one word come before those of two, and so do their arcs.
+        shorter = self._arcs(two > 0, before, last, p_pair, after_pair)
+        at = self._first(triple, len(three))
+        to = pair[at]
         before = np.where(is_start[at], self.begin, pairs_from + pair[at - 1])
-        p_three = (three + strengths[1] * p_pair[pair[at]]) / (seen[before] + strengths[1])
-        arcs.append((three > 0, before, self.word[at], p_three, after_pair[pair[at]]))
-        keys = np.concatenate([before[known].astype(np.int64) * self.n_words + word[known] for known, before, word, _, _ in arcs])
+        p_three = (three + strengths[1] * p_pair[to]) / (seen[before] + strengths[1])
+        del p_pair, seen
+        longer = self._arcs(three > 0, before, self.word[at], p_three, after_pair[to])
+        del at, to, before, p_three
+        self.keys, self.weight, self.to = (np.concatenate(x) for x in zip(shorter, longer, strict=True))
+
+    def _arcs(self, known: np.ndarray, before: np.ndarray, word: np.ndarray, p: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, weights and ends of the arcs that are known, by state and word."""
+        keys = before[known] * np.int64(self.n_words) + word[known]
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.weight = np.log10(np.concatenate([p[known] for known, _, _, p, _ in arcs]))[order]
-        self.to = np.concatenate([to[known] for known, _, _, _, to in arcs])[order].astype(np.int32)
+        return keys[order], np.log10(p[known][order]), to[known][order]
 
     @staticmethod
     def _first(where: np.ndarray, n: int) -> np.ndarray:
         """The first place of each of n runs."""
-        first = np.empty(n, np.int64)
-        first[where[::-1]] = np.arange(len(where) - 1, -1, -1)
+        first = np.empty(n, np.int32)
+        first[where[::-1]] = np.arange(len(where) - 1, -1, -1, dtype=np.int32)
         return first
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,12 +325,14 @@ def score(docs: DataFrame, train_unless: int = 1) -> DataFrame:
             starts = np.cumsum(lengths) - lengths
             found = runs_of(np.frombuffer(row["words"], "<i8"), restored(row["places"]), lengths)
             sizes = np.stack([np.bincount(range_of(keys, ranges), minlength=ranges)[present] for keys, _ in found])
+            where = [places for _, places in found]
+            del found
             ends = np.cumsum(sizes, axis=0)
             totals = [np.concatenate([x[e - s : e] for x, e, s in zip(own, ends[k], sizes[k], strict=True)]) for k in range(ORDER)]
-            known = (totals[0] > 0)[found[0][1]]
-            machine = Automaton(found, totals, starts, strengths, n_all, kinds, trained)
-            base = machine.root_weight[found[0][1]]
-            found, totals = [], []
+            known = (totals[0] > 0)[where[0]]
+            machine = Automaton(where, totals, starts, strengths, n_all, kinds, trained)
+            del where, totals
+            base = machine.root_weight[machine.word]
             out.append(
                 pa.table(
                     {
