@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Quotes that a keyword may stand in, prefixes of test texts, and what short generic texts are made of.
@@ -216,3 +220,45 @@ def anchors(c: Column, size: int = 4) -> Column:
     at = lambda kind, start: F.struct(F.lit(kind).alias("kind"), F.substring(c, start, n).alias("run"))
     every = F.array(at("prefix", F.lit(1)), at("suffix", F.length(c) - n + 1), at("middle", F.floor((F.length(c) - n) / 2).cast("int") + 1))
     return F.when(F.length(c) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<struct<kind:string,run:string>>"))
+
+
+def speaker(c: Column, compact_name: bool = False) -> Column:
+    """A speaker's name as it is compared: lower case, no blanks at the ends or, for scripts without spaces, anywhere."""
+    name = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    return compact(name) if compact_name else name
+
+
+def spoken_tier(c: Column, word: str, compact_name: bool = False) -> Column:
+    """0 equal, 1 begins with, 2 contains, 3 anything else, in any script's lower case; an empty word is equal to all."""
+    wanted = speaker(F.lit(word), compact_name)
+    value = speaker(c, compact_name)
+    rank = F.when(value == "", 3).when(value == wanted, 0).when(F.startswith(value, wanted), 1).when(F.contains(value, wanted), 2).otherwise(3)
+    return F.when(wanted == "", 0).otherwise(rank)
+
+
+def typed_key(c: Column) -> Column:
+    """What tells values of JSON apart, each with its type: text by its line ends made equal, numbers by value, objects by
+    their fields in order of name."""
+    v = F.try_parse_json(c)
+    shape = F.schema_of_variant(v)
+    body = F.when(shape == "STRING", line_ends(F.try_variant_get(v, "$", "string"))).otherwise(F.to_json(v))
+    kind = F.when(shape == "STRING", "str").when(shape == "BOOLEAN", "bool").when(shape == "BIGINT", "int").when(F.startswith(shape, F.lit("DECIMAL")) | (shape == "DOUBLE"), "float").when(shape == "VOID", "none").otherwise("json")
+    return F.when(v.isNotNull(), F.struct(kind.alias("kind"), body.alias("value")))
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility composition, which Spark has no function for."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def item_name(c: Column) -> Column:
+    """A thing's name as it is compared with others: composed, lower case, letters, marks and digits alone."""
+    return F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{M}\p{N}]+", "")
+
+
+@F.pandas_udf(LongType())
+def synthetic_id(keys: pd.Series) -> pd.Series:
+    """A negative number for a made text, from the first eight bytes of a keyed digest: the same for the same key anywhere."""
+    number = lambda k: -(int.from_bytes(hashlib.blake2s(k.encode(), digest_size=8).digest(), "big") % 2_000_000_000 + 1)
+    return keys.map(lambda k: None if k is None else number(k)).astype("Int64")
