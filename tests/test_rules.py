@@ -45,3 +45,10 @@ def test_marks(spark):
     at = lambda *a: sorted((r.nth, r.role) for r in marks.replay_range(snaps, *a).collect())
     assert at("v3", "v1") == [(1, "base"), (2, "replay"), (3, "replay")] and at("v1") == [(0, "replay"), (1, "replay")] and at("none") == [] and at("v1", "v3") == [(3, "base")]
     assert marks.reset(rows, ("created",)).where("created is not null").count() == 0
+
+
+def test_runs_of_characters(spark):
+    x = F.col("x")
+    for value in ("abcd", "a\U0001f600b\U0001f601\U0001f602c", "a\nb c", "ab", "\u4e2d\u6587\u5b57"):
+        assert one(spark, value, text.every_run(x, 2)) == [value[i : i + 2] for i in range(len(value) - 1)]
+    assert one(spark, "a", text.every_run(x, 2)) == [] and one(spark, "", text.every_run(x, 2)) == []

@@ -89,6 +89,11 @@ def grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.filter(each, lambda x: x != ""))
 
 
+def every_run(c: Column, n: int) -> Column:
+    """Every run of n characters in turn, in one pass over the text."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))." % n), F.lit(1))
+
+
 def compact(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 

@@ -46,8 +46,7 @@ def words(c: Column) -> Column:
 def pairs(c: Column) -> Column:
     """Every pair of neighbouring characters in turn; a single character is its own term."""
     whole = text.compact(c)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - 1, F.lit(1))), lambda i: F.substring(whole, i, F.lit(2)))
-    return F.filter(each, lambda x: x != "")
+    return F.filter(F.when(F.length(whole) > 1, text.every_run(whole, 2)).otherwise(F.array(whole)), lambda x: x != "")
 
 
 def bucket(term: Column, config: IndexConfig) -> Column:

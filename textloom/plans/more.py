@@ -124,17 +124,24 @@ def codex_titles(c: Catalog) -> DataFrame:
     return joined.select("p_partkey", F.coalesce("n_name", "p_name").alias("title"))
 
 
-@query("SELECT c_custkey AS id, 'old' AS kind FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+@query("SELECT c_custkey AS id, 'old' AS kind FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def entity_delta(c: Catalog) -> DataFrame:
-    old = c.table("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    """What is known already, and what the feed brings besides."""
+    old = c.table("customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"))
     new = c.table("orders").select(F.col("o_custkey").alias("id")).distinct().join(old, "id", "left_anti")
     return old.withColumn("kind", F.lit("old")).unionByName(new.withColumn("kind", F.lit("new")))
 
 
-@query("WITH links AS (SELECT DISTINCT l_partkey AS line, l_orderkey AS talk FROM lineitem), home AS (SELECT line, min(talk) AS talk FROM links WHERE talk % 10 <> 1 GROUP BY line) SELECT line, talk FROM home")
+@query(
+    "WITH links AS (SELECT DISTINCT l_partkey AS line, l_orderkey AS talk FROM lineitem), gone AS (SELECT o_orderkey AS talk FROM orders WHERE o_orderstatus = 'P') "
+    "SELECT line, min(talk) AS was, min(talk) FILTER (talk NOT IN (SELECT talk FROM gone)) AS talk FROM links GROUP BY line"
+)
 def rehome_shared(c: Catalog) -> DataFrame:
-    links = c.table("lineitem").where("l_orderkey % 10 <> 1").select(F.col("l_partkey").alias("line"), F.col("l_orderkey").alias("talk"))
-    return links.groupBy("line").agg(F.min("talk").alias("talk"))
+    """Talks are taken away; a line whose home is among them goes to the first talk left that has it, or to none."""
+    links = c.table("lineitem").select(F.col("l_partkey").alias("line"), F.col("l_orderkey").alias("talk")).distinct()
+    gone = c.table("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("_gone"))
+    kept = links.join(gone, F.col("talk") == F.col("_gone"), "left").withColumn("_stays", F.when(F.col("_gone").isNull(), F.col("talk")))
+    return kept.groupBy("line").agg(F.min("talk").alias("was"), F.min("_stays").alias("talk"))
 
 
 @query("SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), o_orderpriority) AS updated FROM orders")
