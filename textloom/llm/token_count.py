@@ -4,8 +4,8 @@ Two deterministic transducers stand for the byte-level BPE tokenizer.
 
 * The cutter reads classes of characters and marks where words (the tokenizer's pre-tokens) begin; it has twelve states.
   The texts of a batch are one stream, cut into equal chunks. For each chunk its state map is computed (where each state
-  leads, and how many words begin on the way, an annotation of its transitions); a parallel prefix scan composes the
-  maps, which gives the true state at the start of each chunk, and then all chunks are read side by side.
+  leads); a parallel prefix scan composes the maps, which gives the true state at the start of each chunk, and then all
+  chunks are read side by side. These maps carry states alone; counts are annotations of the merger.
 * The merger reads the bytes of a word; each transition carries the number of tokens that it adds. Its states are found
   as they are needed: a state holds, for each suffix of what was read that some token may still begin with, the last
   token before that suffix and its count. The last token of a prefix is the longest that its neighbour on the left
