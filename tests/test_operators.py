@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 from difflib import SequenceMatcher
@@ -169,3 +170,14 @@ def test_versions_follow_a_text(spark):
     shifted = frame([(20, "a long enough text of the first day, now"), (2, "another text that stays as it is")])
     got = {r.hash: (r.created, r.updated) for r in history.replay([(1, first), (2, shifted)], similar=True).collect()}
     assert got == {20: (1, 2), 2: (1, 1)}
+
+
+def test_scratch_tables_go(spark):
+    from textloom.operators import scratch
+
+    path = f"{scratch.shared_dir(spark)}/textloom".removeprefix("file://")
+    before = set(os.listdir(path)) if os.path.isdir(path) else set()
+    assert scratch.written(spark.range(5), "test").count() == 5
+    made = set(os.listdir(path)) - before
+    assert len(made) == 1 and all(name.startswith("test-") for name in made)
+    assert scratch.clear(spark) and not os.path.exists(path)
