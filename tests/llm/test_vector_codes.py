@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from textloom.llm import vector_codes
+from textloom.llm import common, vector_codes
 from textloom.llm.vector_codes import compress, decoded, op12_vector_codes, with_label_errors
 
 
@@ -82,3 +82,14 @@ def test_numbers_beyond_machine_arithmetic(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got, want = listed(with_label_errors(*compress(df))), brute(rows)
     assert got == want and max(abs(256 * x) for _, v, _ in rows for x in v) > vector_codes.LIMIT
+
+
+def test_hot_and_rare_keys_meet_their_totals(spark):
+    """Keys beyond a thousandth of the rows, and those below, null among the hot ones; no row twice, none lost."""
+    keys = [None] * 900 + [1] * 700 + [k for k in range(10, 1400) for _ in range(1 + k % 2)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i long, k long")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "n * 2 as twice")
+    got = common.joined_by_share(rows, keyed, "k", "n", len(keys)).collect()
+    count = {k: keys.count(k) for k in set(keys)}
+    assert sorted((r.i, r.k or -1, r.n, r.twice) for r in got) == sorted((i, k or -1, count[k], 2 * count[k]) for i, k in enumerate(keys))
+    assert {n * 1000 >= len(keys) for n in count.values()} == {True, False}

@@ -10,7 +10,8 @@ The windows are broadcast while they take BROADCAST_BYTES at most, a bound that
 words of documents are shuffled to the prefix words, and only what fits a window's place meets its text again.
 
 Defined results: null and empty texts have no words; very long texts are whole; rows that repeat, with or without a doc_id,
-are reported each; items with equal windows are all found; an empty benchmark or empty documents leave nothing
+are reported each; items with equal windows are all found; an item without an id hits words but is not counted among the
+items; an empty benchmark or empty documents leave nothing
 contaminated; further columns are ignored.
 """
 
