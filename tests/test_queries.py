@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from textloom.plans import dispatch, feeds, history, indexes, more, objects, queries as plans, rules  # noqa: F401
+from textloom.plans import dispatch, entities, feeds, history, indexes, more, objects, queries as plans, rules  # noqa: F401
 
 SF = os.environ.get("TEXTLOOM_TEST_DATA", "/root/testdata/sf0.001")
 
