@@ -35,6 +35,8 @@ from .token_count import Encoder
 from .tokens import text_parts
 
 SEQUENCE, END_ID = 1024, 2
+#: Bytes of text that a task encodes at once.
+SLICE = 1_000_000
 ITEMS, ISLANDS, POPULATION, CHILDREN, ELITE = 20_000, 3, 6, 3, 3
 #: Generations without fewer sequences after which an island rests.
 PATIENCE = 12
@@ -51,7 +53,7 @@ def pieces(docs: DataFrame, name: str = "byte_bpe_50k.json", size: int = SEQUENC
 
         encoder = common.kept(("encoder", name), lambda: Encoder(public_tokenizers.path(name)))
         for batch in batches:
-            for part, texts in text_parts(batch["text"]):
+            for part, texts in text_parts(batch["text"], SLICE):
                 ids, counts = encoder.encode(texts)
                 full = np.insert(ids.astype("<u4"), np.cumsum(counts), END_ID)  # the end after each document
                 n = counts + 1
