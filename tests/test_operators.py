@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -181,3 +182,13 @@ def test_scratch_tables_go(spark):
     made = set(os.listdir(path)) - before
     assert len(made) == 1 and all(name.startswith("test-") for name in made)
     assert scratch.clear(spark) and not os.path.exists(path)
+
+
+def test_runs_of_characters_in_linear_time(spark):
+    """Pairs of a text of a million characters: one pass over the text, not one for each pair."""
+    text_ = "é" * 20 + "aß\n😀b " * 150_000
+    rows = spark.createDataFrame([(text_,), ("x",), ("",), (None,), ("😀é",)], "c string")
+    began = time.perf_counter()
+    got = [r[0] for r in rows.select(text.grams(F.col("c"), 2)).collect()]
+    assert time.perf_counter() - began < 60
+    assert got == [list(dict.fromkeys(text_[i : i + 2] for i in range(len(text_) - 1))), ["x"], [], [], ["😀é"]]
