@@ -6,7 +6,9 @@ texts: (hash, lang, content). labels: (source, category, field, label), null sou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,7 +17,7 @@ def by_language(texts: DataFrame, langs: list[str]) -> DataFrame:
     none."""
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, langs)), F.col("lang")), F.lit(0)), F.lit(len(langs) + 1))
     held = texts.where("content <> ''")
-    first = F.min_by(F.struct("content", "lang"), F.struct(rank, F.col("lang"), F.col("content"))).alias("_t")
+    first = F.min(F.struct(rank.alias("rank"), "lang", "content")).alias("_t")
     return held.groupBy("hash").agg(first).select("hash", "_t.content", "_t.lang")
 
 
@@ -30,11 +32,17 @@ def labelled(links: DataFrame, labels: DataFrame, otherwise: str) -> DataFrame:
     return out.select(*rows.columns, F.coalesce("_label0", "_label1", "_label2", F.lit(otherwise)).alias("label"))
 
 
-def entries(links: DataFrame, texts: DataFrame, labels: DataFrame, langs: list[str], otherwise: str = "text") -> DataFrame:
+def entries(
+    links: DataFrame, texts: DataFrame, labels: DataFrame, langs: list[str], otherwise: str = "text", title_as: Callable[[Column], Column] = lambda c: c, content_as: Callable[[Column], Column] = lambda c: c
+) -> DataFrame:
     """(source, entity, hash, title, label, form, lang, content): what things say. A text that no language has is left out, a
-    title that none has is null."""
+    title that none has is null.
+
+    title_as and content_as: what is wanted of them. It is made once for each text, so that links, which are many more, carry
+    no more than that."""
     own = by_language(texts, langs)
-    title = own.select(F.col("hash").alias("title_hash"), F.col("content").alias("title"))
+    title = own.select(F.col("hash").alias("title_hash"), title_as(F.col("content")).alias("title"))
+    own = own.select("hash", content_as(F.col("content")).alias("content"), "lang")
     rows = labelled(links, labels, otherwise).join(own, "hash").join(title, "title_hash", "left")
     return rows.select("source", "entity", "hash", "title", "label", "form", "lang", "content")
 

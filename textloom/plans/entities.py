@@ -36,8 +36,8 @@ def _tables(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame]:
 def entity_entries(c: Catalog) -> DataFrame:
     """What each thing says, with the name of each field and the title in the first language that has it."""
     links, texts, labels = _tables(c)
-    rows = entities.entries(links, texts, labels, ["fr", "en"])
-    return rows.select("source", "entity", "hash", F.md5("title").alias("title"), "label", "form", "lang", F.length("content").alias("n_chars"))
+    rows = entities.entries(links, texts, labels, ["fr", "en"], title_as=F.md5, content_as=F.length)
+    return rows.withColumnRenamed("content", "n_chars")
 
 
 @query(
