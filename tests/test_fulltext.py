@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from textloom.operators import segment
@@ -114,3 +115,8 @@ def test_segmented_texts_against_brute_force(spark):
     own = segment.Lattice(counts)
     docs = spark.read.parquet(f"{path}/documents.parquet").collect()
     assert got == {r.doc_id: len(own.terms("".join(fold(r.text)))) for r in docs}
+
+
+def test_words_of_a_batch_are_made_in_slices():
+    texts = pd.Series(["aaa", None, "bb", "c" * 10, "", "d"])
+    assert list(segment.slices(texts, 5)) == [(0, 3), (3, 4), (4, 6)] and list(segment.slices(texts[:0], 5)) == []

@@ -21,6 +21,8 @@ from pyspark.sql.types import ArrayType, StringType
 MOST_WORDS = 2_000_000
 #: Sums of logarithms that differ by less are equal products.
 EQUAL = 1e-9
+#: Characters of texts whose words are in memory at once.
+SLICE = 500_000
 
 
 class Lattice:
@@ -81,6 +83,19 @@ def lattice(dictionary: DataFrame, most: int = MOST_WORDS) -> Lattice:
     return Lattice({r.word: r.n for r in found})
 
 
+def slices(texts: pd.Series, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(begin, end) of rows of about most characters, so the words of a whole batch are never all in memory."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        if i > at and held + size > most:
+            yield at, i
+            at, held = i, 0
+        held += size
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def _segmenter(dictionary: DataFrame, method: str):
     shared = dictionary.sparkSession.sparkContext.broadcast(lattice(dictionary))
 
@@ -88,7 +103,8 @@ def _segmenter(dictionary: DataFrame, method: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         act = getattr(shared.value, method)
         for texts in batches:
-            yield pd.Series([None if t is None else act("".join(t.split())) for t in texts])
+            for at, end in slices(texts):
+                yield pd.Series([None if t is None else act("".join(t.split())) for t in texts.iloc[at:end]], dtype=object)
 
     return run
 
