@@ -97,3 +97,11 @@ def test_plurals_alone(spark):
     rows = spark.createDataFrame([("{PLURAL#1|a|b}{PLURAL#3|a|b}",), ("x",), ("",)], "c string")
     assert [r[0] for r in rows.select(templates.plurals(F.col("c"))).collect()] == ["ab", "x", ""]
     assert re.fullmatch(templates.TOKEN, "$[K1|a]")
+
+
+def test_objects_of_one_key_are_told_apart(spark):
+    """Each object is compared with the registry where it stands: two of one key are two, and none is shuffled for it."""
+    objects = [("a", '{"talkId": 7, "dialogList": []}'), ("a", '{"talkId": 8, "dialogList": []}'), ("a", "{"), (None, '{"talkId": 9}')]
+    own, rest = variants.classified(spark.createDataFrame(objects, "file string, body string"), variants.talk_registry(spark), "file", "body")
+    assert sorted((str(r.file), r.roles["talk"]) for r in own.collect()) == [("None", "9"), ("a", "7"), ("a", "8")]
+    assert [tuple(r) for r in rest.collect()] == [("a", "malformed")]

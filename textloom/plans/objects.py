@@ -89,7 +89,7 @@ def talk_rejects(c: Catalog) -> DataFrame:
 
 def _voice_objects(c: Catalog) -> DataFrame:
     names = c.spark.createDataFrame([(i, tell, entry, sources, trigger, guid, path or "sourceFileName") for i, (_, tell, entry, sources, trigger, guid, path) in enumerate(variants.VOICE_FIELDS)], "v int, tell string, entry string, sources string, trigger string, guid string, path string")
-    lines = c.table("lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("p"), "l_returnflag").distinct().withColumn("v", (F.col("item") % 6).cast("int")).join(F.broadcast(names.select("v", "path")), "v")
+    lines = c.table("lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("p"), "l_returnflag").repartition("item").distinct().withColumn("v", (F.col("item") % 6).cast("int")).join(F.broadcast(names.select("v", "path")), "v")
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     path = F.when(F.col("p") % 11 == 0, F.lit('""')).otherwise(text(F.concat(F.lit("vo/"), F.col("p").cast("string"))))
     source = F.concat(F.lit("{"), _quoted(F.col("path"), path), F.lit(","), _quoted("avatarName", text(F.concat(F.lit("Switch_"), "l_returnflag"))), F.lit("}"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 REGISTRY = "variant string, nth int, level int, role string, name string, needed boolean, rank int"
 MOST_NAMES = 10_000
@@ -59,7 +58,7 @@ def voice_registry(spark: SparkSession) -> DataFrame:
 def _checked(registry: DataFrame) -> DataFrame:
     if registry.limit(MOST_NAMES + 1).count() > MOST_NAMES:
         raise ValueError(f"a registry has at most {MOST_NAMES} names")
-    return F.broadcast(registry)
+    return registry
 
 
 def fields(body: Column) -> Column:
@@ -67,17 +66,26 @@ def fields(body: Column) -> Column:
     return F.from_json(body, "map<string,string>", {"mode": "PERMISSIVE"})
 
 
+def _told(objects: DataFrame, registry: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, variant, roles, reason): each object with its variant and a map of role to value, or why it has none. An object is
+    compared with the registry where it stands, so none of them is shuffled."""
+    first = registry.where("level = 1")
+    needed = F.array_compact(F.collect_set(F.when(F.col("needed"), F.col("name"))))
+    each = _checked(first).groupBy("nth", "variant").agg(F.collect_list(F.struct("role", "name")).alias("names"), needed.alias("needed"))
+    known = each.where(F.size("needed") > 0).agg(F.array_sort(F.collect_list(F.struct("nth", "variant", "names", "needed"))).alias("_known"))
+    rows = objects.select(key, fields(F.col(body)).alias("_fields")).crossJoin(F.broadcast(known))
+    fits = F.filter("_known", lambda v: F.forall(v["needed"], lambda name: F.map_contains_key("_fields", name)))
+    rows = rows.select(key, "_fields", F.get(fits, F.lit(0)).alias("_own"))
+    held = F.filter("_own.names", lambda x: F.map_contains_key("_fields", x["name"]))
+    roles = F.map_from_entries(F.transform(held, lambda x: F.struct(x["role"], F.element_at("_fields", x["name"]))))
+    reason = F.when(F.col("_fields").isNull(), "malformed").when(F.col("_own").isNull(), "no variant")
+    return rows.select(key, F.col("_own.variant").alias("variant"), roles.alias("roles"), reason.alias("reason"))
+
+
 def classified(objects: DataFrame, registry: DataFrame, key: str, body: str) -> tuple[DataFrame, DataFrame]:
     """Objects with a variant, (key, variant, roles), roles a map of role to value; and the others, (key, reason)."""
-    rows = objects.select(key, fields(F.col(body)).alias("_fields"))
-    first = _checked(registry.where("level = 1"))
-    needed = registry.where("level = 1 and needed").groupBy("variant").agg(F.count_distinct("name").alias("_needed"))
-    each = rows.where("_fields is not null").select(key, F.explode("_fields").alias("name", "_value")).join(first, "name")
-    own = each.groupBy(key, "variant", "nth").agg(F.count_if("needed").alias("_held"), F.map_from_entries(F.collect_list(F.struct("role", "_value"))).alias("roles"))
-    own = own.join(F.broadcast(needed), "variant").where("_held >= _needed")
-    found = own.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("nth"))).where("_n = 1").select(key, "variant", "roles")
-    rest = rows.join(found.select(key), key, "left_anti")
-    return found, rest.select(key, F.when(F.col("_fields").isNull(), "malformed").otherwise("no variant").alias("reason"))
+    told = _told(objects, registry, key, body)
+    return told.where("reason is null").select(key, "variant", "roles"), told.where("reason is not null").select(key, "reason")
 
 
 def _names(registry: DataFrame, level: int) -> DataFrame:
@@ -101,10 +109,9 @@ def talks(objects: DataFrame, key: str = "file", body: str = "body", registry: D
     An entry without id or text is left out; one without a whole role has who -1. A talk whose id is no number is rejected.
     """
     registry = talk_registry(objects.sparkSession) if registry is None else registry
-    found, rest = classified(objects, registry, key, body)
-    found = found.withColumn("talk", _long(F.col("roles")["talk"]))
-    rest = rest.unionByName(found.where("talk is null").select(key, F.lit("id").alias("reason")))
-    listed = found.where("talk is not null").join(_names(registry, 2), "variant", "left").join(_names(registry, 3), "variant", "left")
+    found = _told(objects, registry, key, body).withColumn("talk", _long(F.col("roles")["talk"]))
+    rest = found.select(key, F.coalesce("reason", F.when(F.col("talk").isNull(), "id")).alias("reason")).where("reason is not null")
+    listed = found.where("reason is null and talk is not null").join(_names(registry, 2), "variant", "left").join(_names(registry, 3), "variant", "left")
     each = listed.select(key, "talk", "names2", "names3", F.posexplode(F.from_json(F.try_element_at("roles", F.lit("entries")), "array<string>")).alias("nth", "_entry"))
     own = each.select(key, "talk", "nth", "names2", "names3", fields(F.col("_entry")).alias("_f")).where("_f is not null")
     value = lambda role: _first(F.col("_f"), F.col("names2"), role)
@@ -118,13 +125,14 @@ def talks(objects: DataFrame, key: str = "file", body: str = "body", registry: D
 def voices(objects: DataFrame, key: str = "item", body: str = "body", registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Voice rows of dialogues, (key, entry, trigger, path, speaker), and the objects that are none, (key, reason)."""
     registry = voice_registry(objects.sparkSession) if registry is None else registry
-    found, rest = classified(objects, registry, key, body)
+    found = _told(objects, registry, key, body)
     role = lambda name: F.try_element_at("roles", F.lit(name))
     # What tells the variant may also be its trigger, so roles that share a name are read by name.
     trigger = F.lower(F.trim(F.coalesce(role("trigger"), role("variant"))))
-    found = found.select(key, "variant", "roles", trigger.alias("_kind"), F.from_json(role("sources"), "array<string>").alias("_sources"), _long(role("entry")).alias("entry"))
+    found = found.select(key, "reason", "variant", "roles", trigger.alias("_kind"), F.from_json(role("sources"), "array<string>").alias("_sources"), _long(role("entry")).alias("entry"))
     bad = F.when(F.col("_sources").isNull() | F.col("roles")["entry"].isNull() | (F.coalesce("_kind", F.lit("")) == ""), "missing").when(F.col("_kind") != "dialog", "not dialog").when(F.col("entry").isNull(), "id")
-    rest = rest.unionByName(found.where(bad.isNotNull()).select(key, bad.alias("reason")))
+    bad = F.coalesce("reason", bad)
+    rest = found.select(key, bad.alias("reason")).where("reason is not null")
     each = found.where(bad.isNull()).join(_names(registry, 2), "variant").select(key, "entry", F.coalesce(role("trigger"), role("variant")).alias("trigger"), "names2", F.explode("_sources").alias("_s"))
     each = each.select(key, "entry", "trigger", "names2", fields(F.col("_s")).alias("_f")).where("_f is not null")
     value = lambda name: _first(F.col("_f"), F.col("names2"), name)
