@@ -105,3 +105,10 @@ def test_objects_of_one_key_are_told_apart(spark):
     own, rest = variants.classified(spark.createDataFrame(objects, "file string, body string"), variants.talk_registry(spark), "file", "body")
     assert sorted((str(r.file), r.roles["talk"]) for r in own.collect()) == [("None", "9"), ("a", "7"), ("a", "8")]
     assert [tuple(r) for r in rest.collect()] == [("a", "malformed")]
+
+
+def test_objects_declare_by_themselves(spark):
+    bodies = [(1, '{"a": {"n": "X y", "n2": 1}, "b": [{"n": "x-Y", "z": 2}, {"n": 5}, {"n": ""}, {"m": {"n": null}}]}'), (2, '"n"'), (3, "{")]
+    found = trees.declared(trees.nodes(spark.createDataFrame(bodies, "id long, body string"), "id", "body"), "id", "n")
+    assert [(r.id, r.declared, json.loads(r.text)) for r in found.collect()] == [(1, "xy", {"n": "x-Y", "z": 2})]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
