@@ -106,7 +106,8 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         def add(key: int, row: np.ndarray, hashes: np.ndarray, meta: np.ndarray) -> None:
             own, held = np.unique(row, return_counts=True)
             rows["range"].append(int(key))
-            rows["meta"].append(meta[:, own].tobytes())
+            # Digests, then sizes in half as many bytes: a range needs no more of a set, and most bytes shuffled are these.
+            rows["meta"].append(meta[0, own].tobytes() + meta[1, own].astype("<i4").tobytes())
             rows["held"].append(held.astype("<u4").tobytes())
             rows["hashes"].append(hashes.tobytes())
 
@@ -114,10 +115,10 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         columns, which, times = np.unique(every, return_inverse=True, return_counts=True)
         hot = (times >= HOT)[which]
         if hot.any():
-            add(2 * ranges + spread, row[hot], every[hot], meta[:3])
+            add(2 * ranges + spread, row[hot], every[hot], meta[1:3])
         marks = columns[times >= HOT]
         every, row = np.concatenate([every[~hot], marks]), np.concatenate([row[~hot], np.full(len(marks), len(sets))])
-        marked = np.append(meta[:3], np.array([[0], [0], [-1]]), axis=1)
+        marked = np.append(meta[1:3], np.array([[0], [-1]]), axis=1)
         part = (every % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         every, row, part = every[order], row[order], part[order]
@@ -142,16 +143,16 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
             ids = pa.array(meta[0], mask=meta[3] < 0)
             return pa.table({"kind": pa.array(np.zeros(len(ids), np.int32)), "doc_id": ids, "digest": meta[1], "n": meta[2], "column": np.zeros(len(ids), np.int64)})
         hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()])
-        metas = [np.frombuffer(m, np.int64).reshape(3, -1) for m in table["meta"].to_pylist()]
+        metas = [np.stack([np.frombuffer(m, np.int64, len(m) // 12), np.frombuffer(m, "<i4", -1, len(m) // 12 * 8)]) for m in table["meta"].to_pylist()]
         held = [np.frombuffer(h, "<u4") for h in table["held"].to_pylist()]
         meta = np.concatenate(metas, axis=1)
         row = np.repeat(np.arange(meta.shape[1]), np.concatenate(held))
         if key[0].as_py() >= 2 * ranges:
             return cells(np.full(len(row), 2, np.int32), meta[:, row], hashes)
-        # One number for each distinct set, with the smallest doc_id that has it.
-        order = np.lexsort((meta[0], meta[2], meta[1]))
+        # One number for each distinct set.
+        order = np.lexsort((meta[1], meta[0]))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(meta[1][order]) != 0) | (np.diff(meta[2][order]) != 0)
+        new[1:] = (np.diff(meta[0][order]) != 0) | (np.diff(meta[1][order]) != 0)
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
         head = order[new]
@@ -164,14 +165,14 @@ def shuffled_columns(docs: DataFrame, words: int) -> DataFrame:
         same = hashes[1:] == hashes[:-1]
         shared = np.append(False, same) | np.append(same, False)
         # A mark tells that the column is hot somewhere, so all its cells are of that kind.
-        n = meta[2][head][row]
+        n = meta[1][head][row]
         first = np.append(True, ~same)
         hot = np.logical_or.reduceat(n < 0, np.flatnonzero(first))[np.cumsum(first) - 1] if len(n) else np.zeros(0, bool)
         keep = shared & (n >= 0)
         return cells(np.where(hot[keep], 2, 1).astype(np.int32), meta[:, head[row[keep]]], hashes[keep])
 
     def cells(kind: np.ndarray, meta: np.ndarray, hashes: np.ndarray) -> pa.Table:
-        return pa.table({"kind": kind, "doc_id": np.zeros(len(kind), np.int64), "digest": meta[1], "n": meta[2], "column": hashes.view(np.int64)})
+        return pa.table({"kind": kind, "doc_id": np.zeros(len(kind), np.int64), "digest": meta[0], "n": meta[1], "column": hashes.view(np.int64)})
 
     packed = docs.mapInArrow(pack, "range long, meta binary, held binary, hashes binary")
     return packed.groupBy("range").applyInArrow(count, "kind int, doc_id long, digest long, n long, column long")
