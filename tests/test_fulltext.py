@@ -120,3 +120,21 @@ def test_segmented_texts_against_brute_force(spark):
 def test_words_of_a_batch_are_made_in_slices():
     texts = pd.Series(["aaa", None, "bb", "c" * 10, "", "d"])
     assert list(segment.slices(texts, 5)) == [(0, 3), (3, 4), (4, 6)] and list(segment.slices(texts[:0], 5)) == []
+
+
+def test_lists_need_no_shuffle(spark, monkeypatch):
+    """Posting lists come from each text alone, in parts of any size; a build deals no words or postings between tasks."""
+    from textloom.operators import fulltext
+
+    rng = random.Random(4)
+    rows = [*made(rng, 40), ("en", 900, None), ("en", 901, " "), ("fr", 902, "the é the")]
+    want = {}
+    for lang, h, text in rows:
+        for at, word in enumerate(fold(text) if lang != "de" else []):
+            want.setdefault((word, lang, h), []).append(at)
+    for most in (1, 30, 1_000_000):
+        monkeypatch.setattr(fulltext, "WORDS_AT_ONCE", most)
+        found = fulltext.postings_of(spark.createDataFrame(rows, SCHEMA), IndexConfig(("en", "fr")))
+        got = {(r.term, r.lang, r.hash): list(itertools.accumulate(r.deltas)) for r in found.collect()}
+        assert got == want and all(r.n == len(r.deltas) for r in found.collect())
+    assert "Exchange" not in found._jdf.queryExecution().toString()

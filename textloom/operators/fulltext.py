@@ -14,8 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,8 @@ from pyspark.sql.window import Window
 from ..functions import text
 
 KEYS = ["lang", "hash"]
+#: Words that a task makes lists of at a time, about.
+WORDS_AT_ONCE = 1_000_000
 LOG = "generation long, signature string, langs array<string>, terms long"
 
 
@@ -59,10 +65,32 @@ def postings_of(texts: DataFrame, config: IndexConfig) -> DataFrame:
     terms = words(F.col("content"))
     if config.pairs:
         terms = F.when(F.col("lang").isin(*config.pairs), pairs(F.col("content"))).otherwise(terms)
-    each = rows.select(*KEYS, F.posexplode(terms).alias("at", "term"))
-    listed = each.groupBy("term", *KEYS).agg(F.array_sort(F.collect_list("at")).alias("at"))
-    deltas = F.transform("at", lambda x, i: x - F.when(i == 0, F.lit(0)).otherwise(F.get("at", i - 1)))
-    return listed.select(bucket(F.col("term"), config).alias("bucket"), "term", *KEYS, F.size("at").alias("n"), deltas.alias("deltas"))
+    listed = rows.select("lang", F.col("hash").cast("long").alias("hash"), terms.alias("terms")).mapInArrow(lists_of, "term string, lang string, hash long, n int, deltas array<int>")
+    return listed.select(bucket(F.col("term"), config).alias("bucket"), "term", *KEYS, "n", "deltas")
+
+
+def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, lang, hash, n, deltas) of (lang, hash, terms): a text's lists come from itself, so no word is shuffled."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch["terms"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + WORDS_AT_ONCE, "right")))
+            part, own = batch.slice(at, stop - at), sizes[at:stop]
+            words = part["terms"].flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(own)), own)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+            key = row * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            first = np.flatnonzero(new)
+            deltas = place - np.where(new, 0, np.roll(place, 1))
+            which, edges = order[first], np.append(first, len(key)).astype(np.int32)
+            columns = [words.dictionary.take(words.indices.take(pa.array(which))), part["lang"].take(pa.array(row[which])), part["hash"].take(pa.array(row[which]))]
+            columns += [pa.array(np.diff(edges), pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(deltas, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["term", *KEYS, "n", "deltas"])
+            at = stop
 
 
 class FullTextIndex:
@@ -101,9 +129,8 @@ class FullTextIndex:
 
     def _write(self, postings: DataFrame, generation: int) -> int:
         out = f"{self.path}/postings/generation={generation}"
-        # By ranges of term and text, so a frequent term is not one task's.
-        dealt = postings.repartitionByRange("bucket", "term", *KEYS).sortWithinPartitions("bucket", "term", *KEYS)
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(out)
+        # Each task writes what its texts have, in the order of terms: a frequent term is not one task's, and nothing is dealt anew.
+        postings.sortWithinPartitions("bucket", "term", *KEYS).write.mode("overwrite").partitionBy("bucket").parquet(out)
         self.spark.createDataFrame([], "lang string, hash long").write.mode("overwrite").parquet(f"{self.path}/dead/generation={generation}")
         return self._lists([generation]).count()
 
@@ -135,11 +162,13 @@ class FullTextIndex:
         """Follow the texts from before to after (lang, hash, content): a generation of what changed."""
         if not self.log():
             return self.build(after)
-        side = lambda d, name: d.select(*KEYS, F.coalesce("content", F.lit("")).alias(name), F.lit(True).alias(f"has_{name}"))
+        # Digests tell what changed; only the texts that did are read again.
+        side = lambda d, name: d.select(*KEYS, F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias(name), F.lit(True).alias(f"has_{name}"))
         both = side(before, "old").join(side(after, "new"), KEYS, "full").where(~F.col("old").eqNullSafe(F.col("new")))
         generation = self._next()
         gone = both.where(F.col("has_old") & F.col("lang").isin(*self.config.langs))
-        terms = self._write(postings_of(both.where("has_new").select(*KEYS, F.col("new").alias("content")), self.config), generation)
+        come = after.join(both.where("has_new").select(*KEYS), KEYS, "left_semi")
+        terms = self._write(postings_of(come, self.config), generation)
         gone.select(*KEYS).write.mode("overwrite").parquet(f"{self.path}/dead/generation={generation}")
         self._commit(generation, terms)
 
@@ -173,7 +202,7 @@ class FullTextIndex:
     def every(self, terms: list[str]) -> DataFrame:
         """(lang, hash) of the texts that hold all terms."""
         terms = list(dict.fromkeys(terms))
-        return self.lists(terms).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select(*KEYS)
+        return self.lists(terms).groupBy(*KEYS).agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(terms)).select(*KEYS)
 
     def phrase(self, terms: list[str]) -> DataFrame:
         """(lang, hash, at, n): texts in which terms follow one another, the first such place and how many there are."""
@@ -181,10 +210,11 @@ class FullTextIndex:
         at = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(i).alias("i")) for i, t in enumerate(terms)))
         # Each place of a term, less the term's own place in the phrase, is where the phrase would begin.
         wanted = F.filter(at, lambda x: x["term"] == F.col("term"))
-        each = found.select(*KEYS, "term", F.posexplode("deltas").alias("k", "delta"))
-        upto = Window.partitionBy(*KEYS, "term").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        each = found.withColumn("list", F.monotonically_increasing_id()).select("list", *KEYS, "term", F.posexplode("deltas").alias("k", "delta"))
+        # Rows that repeat a key have a list each.
+        upto = Window.partitionBy("list").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
         starts = each.withColumn("place", F.sum("delta").over(upto)).select(*KEYS, "place", F.explode(wanted).alias("w")).select(*KEYS, "w.i", "place")
-        hits = starts.groupBy(*KEYS, (F.col("place") - F.col("i")).alias("at")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms))
+        hits = starts.groupBy(*KEYS, (F.col("place") - F.col("i")).alias("at")).agg(F.count_distinct("i").alias("n")).where(F.col("n") == len(terms))
         return hits.groupBy(*KEYS).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
 
     def find(self, texts: DataFrame, keyword: str, lang: str, stop: tuple[str, ...] = ()) -> DataFrame:
