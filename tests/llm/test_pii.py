@@ -103,6 +103,64 @@ def test_forms_without_digits(field):
         assert pii.field_spans([text], [[]], field, pii.Extractor()) == [[]]
 
 
+def whole_path(text, base, field):
+    """The field's spans by one Viterbi over all words of a text, each scored from its features."""
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    words = ["", "", *(text[a:b] for a, b in places), "", ""]
+    scores = np.zeros((1, max(len(places), 1), len(pii.LABELS)))
+    for t in range(len(places)):
+        names = [""] + [x for p in pii.PLACES for x in pii.seen_from(p, pii.own_features(words[t + 2 + int(p)]))]
+        scores[0, t] = field.weights[[field.names[x] for x in names if x in field.names]].sum(axis=0)
+    labels = [pii.LABELS[j] for j in pii.viterbi(scores, np.array([len(places)]), field.moves)[0]][: len(places)]
+    out, taken = [], [s[:2] for s in base]
+    for t, label in enumerate(labels):
+        if label[0] == "B":
+            last = t
+            while last + 1 < len(labels) and labels[last + 1] == "I" + label[1:]:
+                last += 1
+            a, b = places[t][0], places[last][1]
+            while a < b and not (text[a].isalnum() or text[a] in "[("):
+                a += 1
+            while b > a and not text[b - 1].isalnum():
+                b -= 1
+            if a < b and all(b <= x or a >= y for x, y in taken):
+                out.append((a, b, label[2:]))
+                taken.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+def test_every_word_is_labelled(spark, sf_dir, field, monkeypatch, seed):
+    """With any weights, so with spans anywhere and of any length, and whatever the slices."""
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 2000").limit(60).collect()]
+    texts += ["", " ", "one", ".", "call . (030) 555-1234 ; ... a. : 'tis . 0445 1749022 .", *(" ".join(w) for w, _ in pii.labelled_rows(40, 3, pii.TEMPLATES))]
+    if seed:
+        rng = np.random.default_rng(seed)
+        moves = np.where(pii.forbidden(), -1e4, rng.normal(0, 1, field.moves.shape))
+        field = pii.Field(field.names, rng.normal(0, 0.7, field.weights.shape) + np.eye(len(pii.LABELS))[0] * 0.05 * seed, moves)
+        monkeypatch.setattr(pii, "SLICE", 100)
+        monkeypatch.setattr(pii, "BLOCK", 64)
+    base = [pii.pattern_spans(t) for t in texts]
+    got = pii.field_spans(texts, base, field, pii.Extractor())
+    assert got == [whole_path(t, b, field) for t, b in zip(texts, base, strict=True)]
+    assert sum(map(len, got)) > 20
+
+
+def test_keys_away_from_digits_and_cues(field):
+    """No word here has a digit or @, or announces a secret."""
+    text = "the new one is qWeRtYuIoPaSdFgHjKlZxCvBnM as of today and nothing else was said of it"
+    spans = pii.field_spans([text], [[]], field, pii.Extractor())[0]
+    assert [(text[a:b], k) for a, b, k in spans] == [("qWeRtYuIoPaSdFgHjKlZxCvBnM", "secret")]
+
+
+def test_plain_text_stays(field):
+    """Words of any shape in long plain texts are outside."""
+    words = "Of the&&& then*** In.%%% thnder,$$$ camelCaseName well-known and/or | # McDonald https://example.com/a/long-path Ünïcödé 中文字 emphatically".split()
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(20)]
+    assert pii.field_spans(texts, [[] for _ in texts], field, pii.Extractor()) == [[] for _ in texts]
+
+
 def test_whole_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     rows = pii.op5_pii(spark, sf_dir).collect()
